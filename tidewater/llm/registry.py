@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewater.llm import quality
+from tidewater.llm import mixing, quality, token_shards
 
 
 def queries() -> dict:
     return {
+        "op2_token_shards": token_shards.op2_token_shards,
+        "op5_mixing": mixing.op5_mixing,
         "op6_quality_rules": quality.op6_quality_rules,
     }
 
