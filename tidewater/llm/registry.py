@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import mixing, quality, token_shards
+from tidewater.llm import licences, line_dedup, mixing, quality, token_shards
 
 
 def queries() -> dict:
@@ -10,10 +10,13 @@ def queries() -> dict:
         "op2_token_shards": token_shards.op2_token_shards,
         "op5_mixing": mixing.op5_mixing,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op8_license_scans": licences.op8_license_scans,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": quality.OP6_SQL,
+        "op10_line_dedup": line_dedup.OP10_SQL,
     }
