@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewater.llm import licences, line_dedup, mixing, quality, token_shards
+from tidewater.llm import licences, line_dedup, mixing, near_dup, quality, token_shards
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": near_dup.op1_minhash_near_dedup,
         "op2_token_shards": token_shards.op2_token_shards,
         "op5_mixing": mixing.op5_mixing,
         "op6_quality_rules": quality.op6_quality_rules,
