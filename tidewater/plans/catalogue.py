@@ -76,7 +76,8 @@ def consolidated_events(spark, d):
 
 @query
 def event_panel(spark, d):
-    return rounded(panel(spark, d).select("ticker", "ex_date", "offset", "bar_date", "open", "close", "high", "low", "volume", "transactions", "span_days", "mkt_open", "mkt_close", "dollar_volume", "ex_ym"))
+    filled = panel(spark, d).fillna(-1, ["transactions", "span_days"])
+    return rounded(filled.select("ticker", "ex_date", "offset", "bar_date", "open", "close", "high", "low", "volume", "transactions", "span_days", "mkt_open", "mkt_close", "dollar_volume", "ex_ym"))
 
 
 GRAIN = ("ticker", "ex_date", "cash_amount", "n_distributions", "frequency", "prev_close", "ex_open", "ex_close", "post_close", "pre_avg_ret", "pre_avg_abn_ret", "pre_vol", "pre_avg_volume", "pre_avg_dollar_volume", "post_avg_ret", "post_avg_abn_ret", "n_bars", "n_bars_pre", "n_bars_post", "max_span_days", "drop_ratio", "drop_pct", "div_yield", "capture_ret", "mkt_overnight_ret", "capture_ret_abn", "hold_ret")

@@ -161,7 +161,7 @@ def dated(name: str, sql: str) -> str:
 ORACLE: dict[str, str] = {k: q(dated(k, v)) for k, v in {
     "trading_calendar": "SELECT * FROM cal",
     "consolidated_events": f"SELECT ticker, ex_date, {r('cash_amount')}, n_distributions, frequency, declaration_date, distribution_types FROM ev",
-    "event_panel": f"SELECT ticker, ex_date, offset_ AS \"offset\", bar_date, {r('open; close; high; low; volume; mkt_open; mkt_close; dollar_volume')}, transactions, span_days, ex_ym FROM panel",
+    "event_panel": f"SELECT ticker, ex_date, offset_ AS \"offset\", bar_date, {r('open; close; high; low; volume; mkt_open; mkt_close; dollar_volume')}, coalesce(transactions, -1) AS transactions, coalesce(span_days, -1) AS span_days, ex_ym FROM panel",
     "event_grain": f"SELECT ticker, ex_date, n_distributions, frequency, n_bars, n_bars_pre, n_bars_post, max_span_days, {r(GRAIN_D)} FROM grain",
     "panel_returns_lag": f"SELECT ticker, ex_date, offset_ AS \"offset\", {r('prev_bar_close; prev_mkt_close; ret_cc; mkt_ret_cc; abn_ret_cc')} FROM panel",
     "value_at_offset": f"SELECT ticker, ex_date, {r('max(close) FILTER (offset_ = -1) AS close_m1; max(open) FILTER (offset_ = 0) AS open_0; max(close) FILTER (offset_ = 3) AS close_p3')} FROM panel GROUP BY ticker, ex_date",
