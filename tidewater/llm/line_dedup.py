@@ -54,11 +54,11 @@ def _digests(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(digest, keys)), "<u8").reshape(-1, 2)
 
 
-def _places(pairs: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(pairs: np.ndarray, segments: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment of each key and its two places within."""
     segment = (pairs[:, 0] % np.uint64(segments)).astype(np.int64)
-    first = ((pairs[:, 0] // np.uint64(segments)) % np.uint64(SEGMENT_BITS)).astype(np.int64)
-    second = (pairs[:, 1] % np.uint64(SEGMENT_BITS)).astype(np.int64)
+    first = ((pairs[:, 0] // np.uint64(segments)) % np.uint64(bits)).astype(np.int64)
+    second = (pairs[:, 1] % np.uint64(bits)).astype(np.int64)
     return segment, first, second
 
 
@@ -77,7 +77,7 @@ def _document_keys(texts: list[bytes | None]) -> Iterator[list[bytes]]:
 
 
 
-def twice_seen(texts: DataFrame, segments: int) -> DataFrame:
+def twice_seen(texts: DataFrame, segments: int, bits: int = SEGMENT_BITS) -> DataFrame:
     """(segment, places): the set bits of the twice-seen filter, by segment."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,20 +87,20 @@ def twice_seen(texts: DataFrame, segments: int) -> DataFrame:
             keys = [k for own in _document_keys(batch.column(0).to_pylist()) for k in own]
             if not keys:
                 continue
-            segment, first, second = _places(_digests(keys), segments)
-            flat = np.concatenate([segment * SEGMENT_BITS + first, (segment * SEGMENT_BITS + second)[first != second]])
+            segment, first, second = _places(_digests(keys), segments, bits)
+            flat = np.concatenate([segment * bits + first, (segment * bits + second)[first != second]])
             met, counts = np.unique(flat, return_counts=True)
             twice = np.union1d(twice, np.concatenate([met[counts > 1], np.intersect1d(met, once, assume_unique=True)]))
             once = np.union1d(once, met)
         if len(once):
-            found = np.unique(once // SEGMENT_BITS)
-            cuts = [np.searchsorted(x, [found * SEGMENT_BITS, (found + 1) * SEGMENT_BITS]) for x in (once, twice)]
-            packed = [[_pack(x[a:b] - s * SEGMENT_BITS) for s, a, b in zip(found, *cut, strict=True)] for x, cut in zip((once, twice), cuts, strict=True)]
+            found = np.unique(once // bits)
+            cuts = [np.searchsorted(x, [found * bits, (found + 1) * bits]) for x in (once, twice)]
+            packed = [[_pack(x[a:b] - s * bits) for s, a, b in zip(found, *cut, strict=True)] for x, cut in zip((once, twice), cuts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["segment", "once", "twice"])
 
     def merge(own: pa.Table) -> pa.Table:
-        once = np.zeros(SEGMENT_BITS, bool)
-        twice = np.zeros(SEGMENT_BITS, bool)
+        once = np.zeros(bits, bool)
+        twice = np.zeros(bits, bool)
         for met, met_twice in zip(own.column("once").to_pylist(), own.column("twice").to_pylist(), strict=True):
             places = _unpack(met)
             twice[_unpack(met_twice)] = True
@@ -113,79 +113,99 @@ def twice_seen(texts: DataFrame, segments: int) -> DataFrame:
     return reports.groupBy("segment").applyInArrow(merge, "segment long, n long, places binary")
 
 
-def _suspects(texts: DataFrame, segments: int, filters: dict[int, bytes]) -> DataFrame:
-    """(key, digest, n): suspected keys and how many of a partition's documents hold them."""
+def _suspects(texts: DataFrame, segments: int, bits: int, filters: dict[int, bytes]) -> DataFrame:
+    """(key, digest, n, owner) of rows (text, doc_id): suspected keys, how many of a partition's documents hold them, and the smallest doc_id of those."""
     sent = texts.sparkSession.sparkContext.broadcast(filters)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {s: np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), bitorder="little").astype(bool) for s, b in sent.value.items()}
         counts: Counter[bytes] = Counter()
+        owner: dict[bytes, int | None] = {}
         for batch in batches:
-            keys = [k for doc in _document_keys(batch.column(0).to_pylist()) for k in doc]
+            docs = list(_document_keys(batch.column(0).to_pylist()))
+            keys = [k for doc in docs for k in doc]
             if not keys:
                 continue
-            segment, first, second = _places(_digests(keys), segments)
+            ids = [i for i, doc in zip(batch.column(1).to_pylist(), docs, strict=True) for _ in doc]
+            segment, first, second = _places(_digests(keys), segments, bits)
             for s in np.intersect1d(segment, list(own)):
                 at = np.flatnonzero(segment == s)
-                counts.update(keys[i] for i in at[own[s][first[at]] & own[s][second[at]]])
+                for i in at[own[s][first[at]] & own[s][second[at]]]:
+                    counts[keys[i]] += 1
+                    met = owner.get(keys[i])
+                    owner[keys[i]] = ids[i] if met is None else met if ids[i] is None else min(met, ids[i])
         if counts:
             keys = list(counts)
             for k in range(0, len(keys), 10_000):
                 some = keys[k : k + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in some], pa.binary()), pa.array([counts[x] for x in some], pa.int64())], names=["key", "digest", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in some], pa.binary()), pa.array([counts[x] for x in some], pa.int64()), pa.array([owner[x] for x in some], pa.int64())], names=["key", "digest", "n", "owner"])
 
-    return texts.mapInArrow(look, "key binary, digest binary, n long")
+    return texts.mapInArrow(look, "key binary, digest binary, n long, owner long")
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1, filter_mb: int = FILTER_MB) -> DataFrame:
-    """(digest, n_docs): the keys of at least `min_chars` code points that at least `min_docs` documents hold."""
+def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1, filter_mb: float = FILTER_MB, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """(digest, n_docs, owner): the keys of at least `min_chars` code points that at least `min_docs` documents hold, and the smallest doc_id of those."""
     spark = docs.sparkSession
-    texts = pick(docs, "text").select(F.col("text").cast("binary").alias("text"))
-    lines = docs.select(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).head()[0] or 0
-    segments = max(1, -(-lines * BITS_PER_KEY // SEGMENT_BITS))
-    filters = materialise(twice_seen(texts, segments), "twice-seen")
-    per_slice = max(1, filter_mb * 8 * (1 << 20) // SEGMENT_BITS)
+    plain = pick(docs, "text", "doc_id")
+    texts = plain.select(F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    lines = plain.select(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).head()[0] or 0
+    segments = max(1, -(-lines * BITS_PER_KEY // segment_bits))
+    filters = materialise(twice_seen(texts, segments, segment_bits), "twice-seen")
+    per_slice = max(1, int(filter_mb * 8 * (1 << 20)) // segment_bits)
     parts = []
     for low in range(0, segments, per_slice):
         own = filters.filter((F.col("segment") >= low) & (F.col("segment") < low + per_slice)).select("segment", "places").collect()
         bits = {}
         for row in own:
-            whole = np.zeros(SEGMENT_BITS, bool)
+            whole = np.zeros(segment_bits, bool)
             whole[_unpack(row["places"])] = True
             bits[row["segment"]] = zlib.compress(np.packbits(whole, bitorder="little").tobytes(), 1)
-        parts.append(_suspects(texts, segments, bits))
+        parts.append(_suspects(texts, segments, segment_bits, bits))
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)
-    counted = found.groupBy("key", "digest").agg(F.sum("n").alias("n_docs"))
-    return counted.filter((F.col("n_docs") >= min_docs) & (F.length(F.col("key").cast("string")) >= min_chars)).select("digest", "n_docs")
+    counted = found.groupBy("key", "digest").agg(F.sum("n").alias("n_docs"), F.min("owner").alias("owner"))
+    return counted.filter((F.col("n_docs") >= min_docs) & (F.length(F.col("key").cast("string")) >= min_chars)).select("digest", "n_docs", "owner")
 
 
-def _cut(text: bytes | None, doomed) -> tuple[int, int, bytes]:
+def _cut(text: bytes | None, doomed, doc_id: int | None = None) -> tuple[int, int, bytes]:
+    """Lines, lines dropped, and the text left.  doomed: digest -> the document in which the first such line stays, or None."""
     lines = (text or b"").split(b"\n")
     digest = xxhash.xxh3_128_digest
-    kept = [x for x in lines if not (k := line_key(x)) or digest(k) not in doomed]
+    kept, met = [], set()
+    for line in lines:
+        key = line_key(line)
+        name = digest(key) if key else b""
+        if name in doomed and (doomed[name] is None or doomed[name] != doc_id or name in met):
+            continue
+        met.add(name)
+        kept.append(line)
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
 RESULT = "doc_id {kind}, n_lines long, n_dropped long, kept binary"
 
 
-def drop_repeated_lines(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept): each text without the repeated lines, as UTF-8 bytes."""
+def drop_repeated_lines(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS, keep_first: bool = False, **options) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept): each text without the repeated lines, as UTF-8 bytes.
+
+    keep_first: the first such line of the smallest doc_id that holds it stays.
+    """
     df = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
-    schema = RESULT.format(kind=df.schema["doc_id"].dataType.simpleString())
-    hot = materialise(repeated_keys(docs, **options), "repeated-keys")
+    kind = df.schema["doc_id"].dataType.simpleString()
+    schema = RESULT.format(kind=kind)
+    owner = F.col("owner") if keep_first else F.lit(None).cast("long")
+    hot = materialise(repeated_keys(docs, **options).select("digest", owner.alias("owner")), "repeated-keys")
 
     def rows(batch: pa.RecordBatch, doomed: list) -> pa.RecordBatch:
-        cut = [_cut(t, d) for t, d in zip(batch.column(1).to_pylist(), doomed, strict=True)]
+        cut = [_cut(t, d, i) for i, t, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), doomed, strict=True)]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.binary())],
             names=["doc_id", "n_lines", "n_dropped", "kept"],
         )
 
     if hot.count() <= broadcast_keys:
-        sent = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in hot.select("digest").toLocalIterator()))
+        sent = docs.sparkSession.sparkContext.broadcast({bytes(r[0]): r[1] for r in hot.toLocalIterator()})
 
         def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -198,17 +218,16 @@ def drop_repeated_lines(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS, *
     def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [[xxhash.xxh3_128_digest(k) for k in keys] for keys in _document_keys(batch.column(1).to_pylist())]
-            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array([d for x in own for d in x], pa.binary())], names=["d", "h", "digest"])
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([d for x in own for d in x], pa.binary())], names=["d", "h", "digest"])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    held = marked.mapInArrow(own_keys, f"d {kind}, h long, digest binary").join(hot.select("digest"), "digest", "left_semi")
-    doomed = held.groupBy("d", "h").agg(F.collect_set("digest").alias("doomed"))
-    joined = marked.join(doomed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")), "left").select("doc_id", "text", "doomed")
+    held = marked.mapInArrow(own_keys, f"d {kind}, h long, digest binary").join(hot, "digest")
+    doomed = held.groupBy("d", "h").agg(F.collect_set(F.struct("digest", "owner")).alias("doomed"))
+    joined = marked.join(doomed, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("__h").eqNullSafe(F.col("h")), "left").select("doc_id", "text", "doomed")
 
     def cut_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield rows(batch, [frozenset(x or ()) for x in batch.column(2).to_pylist()])
+            yield rows(batch, [{x["digest"]: x["owner"] for x in own or ()} for own in batch.column(2).to_pylist()])
 
     return joined.mapInArrow(cut_own, schema)
 
