@@ -156,10 +156,12 @@ class Windows:
                 text, origin = folded[k]
                 width = 2 * (int(self.budget[window]) + 1)
                 for diagonal in diagonals:
-                    low = max(0, diagonal)
-                    edits, stop = banded(self.text[window], text[low:], width + diagonal - low if diagonal < 0 else width)
+                    # A band may begin before the text does: what is missing there is filled up with bytes that match nothing.
+                    missing = max(0, -diagonal)
+                    region = text[max(0, diagonal) : max(0, diagonal + width + len(self.text[window]))]
+                    edits, stop = banded(self.text[window], np.concatenate([np.zeros(missing, np.uint8), region]), width)
                     if edits <= self.budget[window]:
-                        last = min(len(text), low + stop) - 1
+                        last = max(0, min(len(text), diagonal + stop) - 1)
                         first = max(0, last + 1 - len(self.text[window]))
                         best = (edits, int(origin[first]), int(origin[last]) + 1)
                         own = found[at + k]
