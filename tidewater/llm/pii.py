@@ -137,6 +137,12 @@ def near_terms(found: DataFrame) -> DataFrame:
     return terms.select("doc_id", "h", "entity", "t.term", "t.start", "t.stop")
 
 
+def _shares(counts: DataFrame, n: float) -> DataFrame:
+    """Adds `share`, PMI over information content, of counts (n_e, n_t, n_te) among n documents."""
+    pmi = F.ln(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
+    return counts.withColumn("share", F.coalesce(F.try_divide(pmi, F.ln(F.lit(n) / F.col("n_e"))), F.lit(0.0)))
+
+
 def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(entity, term, n_e, n_t, n_te, share): terms that disclose at least the share `least` of an entity.
 
@@ -149,17 +155,19 @@ def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int
     rows = holders.groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).agg(F.count("*").alias("m"))
     pairs = near.select("doc_id", "h", "entity", "term").distinct()
     pairs = pairs.join(rows, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_te")).filter(F.col("n_te") >= support)
-    pairs = materialise(pairs, "pairs")
+    pairs = pairs.select("doc_id", "h", "entity", "term", "m")
+    counted = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_te")).filter(F.col("n_te") >= support)
+    # Documents that hold a term near any entity are a lower bound of n_t, which rules out common words before all texts are counted.
+    anywhere = pairs.select("doc_id", "h", "term", "m").distinct().groupBy("term").agg(F.sum("m").alias("n_t"))
+    pairs = _shares(counted.join(entities, "entity").join(anywhere, "term"), n).filter(F.col("share") >= least)
+    pairs = materialise(pairs.drop("n_t", "share"), "pairs")
     wanted = pairs.select("term").distinct()
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
     words = pick(docs, "text").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), NOT_LETTERS))).alias("term"))
     often = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    df = pairs.join(entities, "entity").join(often, "term")
-    pmi = F.ln(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
-    share = F.coalesce(F.try_divide(pmi, F.ln(F.lit(n) / F.col("n_e"))), F.lit(0.0))
-    return df.withColumn("share", share).filter(F.col("share") >= least).select("entity", "term", "n_e", "n_t", "n_te", "share")
+    found = _shares(pairs.join(often, "term"), n).filter(F.col("share") >= least)
+    return found.select("entity", "term", "n_e", "n_t", "n_te", "share")
 
 
 def find_all(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -200,3 +208,40 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return df.select("doc_id", *(count(k) for k in KINDS), F.sha2(told("base"), 256).alias("base_sha256"), told(F.concat("base", "terms")).alias("spans"))
+
+
+def _sql_matches(kind: str, order: int, pattern: str, source: str = "d", text: str = "t", keys: str = "doc_id") -> str:
+    """SELECT of all matches with their places: pieces between matches and the matches themselves, added up."""
+    values = f"regexp_extract_all({text}, '{pattern}')"
+    window = f"PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return f"""SELECT *, CAST(sum(length(p)) OVER ({window} CURRENT ROW) + coalesce(sum(length(v)) OVER ({window} 1 PRECEDING), 0) AS BIGINT) AS a
+        FROM (SELECT {keys}, '{kind}' AS kind, {order} AS ord, unnest({values}) AS v, unnest(string_split_regex({text}, '{pattern}')[1:len({values})]) AS p, unnest(range(1, len({values}) + 1)) AS i FROM {source})"""
+
+
+_SQL_BASE = " UNION ALL ".join(
+    f"({_sql_matches(k, n, p)})"
+    for n, (k, p) in enumerate((("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), ("card", r"[0-9](?:[ -]?[0-9])+"), ("phone", r"\+[0-9][ ().0-9-]+[0-9]")), 1)
+)
+_SQL_TERM = r"\p{L}{4,}"
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT *, a + length(v) AS b, regexp_replace(v, '[^0-9]', '', 'g') AS g FROM ({_SQL_BASE})),
+base AS (SELECT doc_id, kind, ord, v, a, b FROM m WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(g) BETWEEN 8 AND 15
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: CAST(x AS DOUBLE) <= 255))
+    ELSE length(g) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN (length(g) - i) % 2 = 0 THEN CAST(substr(g, i, 1) AS BIGINT)
+         ELSE 2 * CAST(substr(g, i, 1) AS BIGINT) - CASE WHEN CAST(substr(g, i, 1) AS BIGINT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END),
+sides AS (SELECT doc_id, kind || ':' || v AS entity, a AS at_, true AS l, greatest(a - {NEAR}, 0) AS lo, substr(t, greatest(a - {NEAR}, 0) + 1, a - greatest(a - {NEAR}, 0)) AS seg FROM base JOIN d USING (doc_id)
+    UNION ALL SELECT doc_id, kind || ':' || v, a, false, b, substr(t, b + 1, {NEAR}) FROM base JOIN d USING (doc_id)),
+near AS (SELECT doc_id, entity, v AS term, lo + a AS a, lo + a + length(v) AS b FROM ({_sql_matches("term", 5, _SQL_TERM, "sides", "seg", "doc_id, entity, at_, l, lo, seg")})
+    WHERE NOT (l AND lo > 0 AND a = 0) AND NOT (NOT l AND length(seg) = {NEAR} AND a + length(v) = {NEAR})),
+te AS (SELECT entity, term, count(DISTINCT doc_id) AS n_te FROM near GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {SUPPORT}),
+e AS (SELECT kind || ':' || v AS entity, count(DISTINCT doc_id) AS n_e FROM base GROUP BY 1),
+w AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(t, '[^\p{{L}}]+')) AS term FROM d) WHERE term IN (SELECT term FROM te) GROUP BY term),
+told AS (SELECT entity, term, coalesce(ln(n_te * n.n / (n_t * n_e)) / nullif(ln(n.n / n_e), 0), 0) AS share FROM te JOIN e USING (entity) JOIN w USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d) n),
+terms AS (SELECT doc_id, max(CASE WHEN share >= {REMOVE} THEN 'term-remove' ELSE 'term-generalise' END) AS kind, a, b FROM near JOIN told USING (entity, term) WHERE share >= {GENERALISE} GROUP BY doc_id, a, b),
+alls AS (SELECT doc_id, kind, ord, a, b FROM base UNION ALL SELECT doc_id, kind, CASE kind WHEN 'term-generalise' THEN 5 ELSE 6 END, a, b FROM terms),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a) FILTER (ord < 5) AS base_spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a, b) AS spans FROM alls GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
