@@ -9,9 +9,9 @@ PMI / IC.  From `GENERALISE` on, a term near that entity is generalised to its
 kind; from `REMOVE` on it is removed.  Only documents that hold the entity lose
 terms.
 
-Built-in functions only.  Texts are read twice (patterns, then the counts n_t of the
-candidate terms over all documents) and never shuffled; what moves is one row per
-entity and nearby term, aggregated before it does.
+Built-in functions only.  Texts are read twice (patterns, then the document counts of
+all words) and never shuffled; what moves is one row per word of a partition, and
+one per entity and nearby term, aggregated before they do.
 
 Defined results: a null text counts as empty and has no spans; a null doc_id is
 passed through; repeated rows get equal spans and each count as a document; an
@@ -46,7 +46,6 @@ NEAR = 80
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-BROADCAST_TERMS = 1_000_000
 
 SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
@@ -161,11 +160,9 @@ def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int
     anywhere = pairs.select("doc_id", "h", "term", "m").distinct().groupBy("term").agg(F.sum("m").alias("n_t"))
     pairs = _shares(counted.join(entities, "entity").join(anywhere, "term"), n).filter(F.col("share") >= least)
     pairs = materialise(pairs.drop("n_t", "share"), "pairs")
-    wanted = pairs.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
+    # Counted whole and combined before the shuffle; only terms that are candidates meet the join.
     words = pick(docs, "text").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), NOT_LETTERS))).alias("term"))
-    often = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    often = words.groupBy("term").agg(F.count("*").alias("n_t"))
     found = _shares(pairs.join(often, "term"), n).filter(F.col("share") >= least)
     return found.select("entity", "term", "n_e", "n_t", "n_te", "share")
 
