@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import materialise, pick, table
+from tidewater.llm.shared import guarded, materialise, pick, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, written so that neither long runs nor many repeats cost more than linear time or any stack:
@@ -129,7 +129,8 @@ def _side(df: DataFrame, left: bool) -> DataFrame:
 def near_terms(found: DataFrame) -> DataFrame:
     """(doc_id, h, entity, term, start, stop): every term near an entity.  h names the text among rows of one doc_id."""
     spans = F.concat(*KINDS)
-    df = found.filter(F.size(spans) > 0).select("doc_id", F.xxhash64("text").alias("h"), "text", F.explode(spans).alias("s"))
+    df = guarded(found.withColumn("__spans", spans)).filter("size(__spans) > 0 AND __row >= 0")
+    df = df.select("doc_id", F.xxhash64("text").alias("h"), "text", F.explode("__spans").alias("s"))
     df = df.select("doc_id", "h", "text", "s.start", "s.stop", F.concat_ws(":", "s.kind", "s.value").alias("entity"))
     df = _side(_side(df, True), False)
     terms = df.select("doc_id", "h", "entity", F.explode(F.concat("left", "right")).alias("t"))

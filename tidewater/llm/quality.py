@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import SPACE_RUN, SPACES, pick
+from tidewater.llm.shared import SPACE_RUN, SPACES, guarded, pick
 
 #: Words in a window; a window found twice in a text marks all its words.
 WINDOW = 5
@@ -149,7 +149,7 @@ def keep_good(docs: DataFrame, policy: Policy | None = None) -> DataFrame:
     plain = docs.toDF(*(f"__in{i}" for i in range(len(cols)))).withColumn("text", F.col(f"__in{spot}"))
     df = _window_repeats(_measured(plain))
     df = judge(df.withColumn("failed", failure_bits()), policy)
-    return df.filter("kept").select(*(f"__in{i}" for i in range(len(cols)))).toDF(*cols)
+    return guarded(df).filter("kept AND __row >= 0").select(*(f"__in{i}" for i in range(len(cols)))).toDF(*cols)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -61,6 +61,16 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def guarded(df: DataFrame) -> DataFrame:
+    """Adds `__row`, on which a filter above must also ask.
+
+    Otherwise Spark moves the filter below the projections that compute its
+    columns and writes them all out in its condition, where arrays that took one
+    step each are computed anew for every element.
+    """
+    return df.withColumn("__row", F.monotonically_increasing_id())
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
