@@ -72,7 +72,7 @@ def test_components_match_all_pairs(spark, size, percent, seed):
 
 
 def test_long_lists_are_split_on_further_values(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "PAIRS_PER_NODE", 0.3)
+    monkeypatch.setattr(near_dup, "SHORT_LIST", 2)
     docs = corpus(5)
     got = {r.doc_id: r.component_id for r in near_dup.link_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()}
     assert got == classes(docs, 3, 85)

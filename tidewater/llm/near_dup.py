@@ -43,7 +43,8 @@ SHORT_LIST = 48
 #: Common values on which long lists are split at most; what is left then is compared in full.
 MAX_LEVEL = 4
 BROADCAST_IDS = 1_000_000
-LEADER_ROUNDS = 2
+#: Larger than any retained value, but for a chance of 2^-64.
+PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def sketch_share(percent: int, k: int = K) -> float:
@@ -52,9 +53,14 @@ def sketch_share(percent: int, k: int = K) -> float:
     return t - 5.2 * (t * (1 - t) / k) ** 0.5
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [flat[a:b].view(np.uint64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    """Lists of at most k numbers as rows, filled up with PAD."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    out = np.full((len(column), k), PAD, np.uint64)
+    size = np.diff(ends)
+    row = np.repeat(np.arange(len(column)), size)
+    out[row, np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], size)] = flat[ends[0] : ends[-1]]
+    return out
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -115,12 +121,16 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k:
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True):
-                union = np.union1d(x, y)[:k]
-                both = np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True)
-                keep.append(both.sum() >= share * len(union))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            # Both sketches of a pair in one sorted row: a value that follows its equal is common, and the first k distinct ones are the union sketch.
+            both = np.concatenate([_matrix(batch.column(c), k) for c in (2, 3)], axis=1)
+            both.sort(axis=1)
+            common = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != PAD)
+            rank = np.cumsum(~np.concatenate([np.zeros((len(both), 1), bool), common], axis=1), axis=1)
+            size = np.minimum(k, (rank * (both != PAD)).max(axis=1))
+            shared = (common & (rank[:, 1:] <= k)).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(shared >= share * size, pa.bool_()))
 
     likely = met.mapInArrow(estimate, "a long, b long")
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").select("a", "b", "xa", "xb")
@@ -130,7 +140,9 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                merged = np.concatenate([x, y])
+                merged.sort()
+                common = int((merged[1:] == merged[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -139,20 +151,33 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges(a, b) reaches, by alternating large and small stars."""
-    edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("c")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, F.col("u") == F.col("c")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(low, F.col("u") == F.col("c"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = materialise(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        if now == state:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-        state = now
+        # Done once every node is either the end of one edge or the centre of a star.
+        roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
+        roles = roles.groupBy("n").agg(F.sum("child").alias("child"), F.max("centre").alias("centre"))
+        if roles.filter("child > 1 OR (child > 0 AND centre > 0)").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, component) with further links(a, b) taken in."""
+    if labels is None:
+        return components(links)
+    named = lambda c: labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
+    met = links.join(named("a"), F.col("a") == F.col("na"), "left").join(named("b"), F.col("b") == F.col("nb"), "left")
+    moved = components(met.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    moved = materialise(moved, "moved")
+    kept = labels.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    fresh = moved.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return materialise(kept.union(fresh), "labels")
 
 
 def _placed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -201,35 +226,36 @@ def _label(docs: DataFrame, classes: DataFrame, ordered: DataFrame, words: int,
         sets = sets.dropDuplicates()
     # Rows that share a doc_id but not a text need no link: they are one node already.
     lists = materialise(ordered.select("node", F.explode(F.slice("shared", F.lit(1), F.col("need"))).alias("value")).select(F.col("value").alias("key"), F.array("value").alias("used"), "node"), "lists")
-    links = labels = None
+    labels = None
+    level = 1
 
-    def add(pairs: DataFrame) -> None:
-        nonlocal links, labels
+    def linked(pairs: DataFrame) -> DataFrame | None:
         found = materialise(_links(pairs, own, sets, percent, k), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
+        return labels if found.isEmpty() else _merged(labels, found)
 
-    level = 1
+    def leaders(alive: DataFrame, rank) -> DataFrame:
+        """(a, b): each node of a list with the list's leader, where their components differ."""
+        heads = alive.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node", "component")).alias("m")).select("key", F.col("m.node").alias("b"), F.col("m.component").alias("cb"))
+        return alive.join(heads, "key").filter("node <> b AND component <> cb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+
+    # To begin with, every node meets one leader: the smallest node of its lists.
+    labels = linked(leaders(_placed(lists, None), F.lit(0)).groupBy("a").agg(F.min("b").alias("b")))
     while True:
-        for turn in range(LEADER_ROUNDS):
-            alive = _open(_placed(lists, labels))
-            first = turn == 0 and level == 1
-            rank = F.struct((F.lit(0).cast("long") if first else F.xxhash64("key", "node", F.lit(turn))).alias("h"), F.col("node"), F.col("component"))
-            heads = alive.groupBy("key").agg(F.min(rank).alias("m")).select("key", F.col("m.node").alias("b"), F.col("m.component").alias("cb"))
-            pairs = alive.join(heads, "key").filter("node <> b AND component <> cb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-            add(pairs.groupBy("a").agg(F.min("b").alias("b")) if first else pairs.distinct())
         alive = materialise(_open(_placed(lists, labels)), "open")
         last = level == MAX_LEVEL
         short = alive if last else alive.filter(F.col("n") <= SHORT_LIST)
         other = short.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-        pairs = short.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("a < b AND ca <> cb")
-        add(pairs.select("a", "b").distinct())
-        long = alive.filter(F.col("n") > SHORT_LIST).select("used", "node")
-        if last or long.isEmpty():
+        pairs = short.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("a < b AND ca <> cb").select("a", "b")
+        long = alive.filter(F.col("n") > SHORT_LIST)
+        done = last or long.isEmpty()
+        if not done:
+            pairs = pairs.union(leaders(long, F.xxhash64("key", "node")))
+        labels = linked(pairs.distinct())
+        if done:
             return labels
-        # A pair at the threshold shares one more value of prefixes that are one longer.
+        # What is still open shares one more value of prefixes that are one longer, if it holds a pair at the threshold.
         level += 1
+        long = _open(_placed(long.select("key", "used", "node"), labels)).select("used", "node")
         wider = ordered.select("node", F.slice("shared", F.lit(1), F.col("need") + (level - 1)).alias("shared"))
         split = long.join(wider, "node").select("used", "node", F.explode(F.array_except("shared", "used")).alias("value"))
         split = split.withColumn("used", F.sort_array(F.concat("used", F.array("value"))))
@@ -254,3 +280,18 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> D
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     df = link_components(table(spark, sf_dir, "documents"), words=3, percent=85)
     return df.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: All pairs that share a shingle, and a walk over their links; for small tables.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

@@ -22,6 +22,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_near_dedup": near_dup.OP1_SQL,
+        "op3_pii": pii.OP3_SQL,
         "op6_quality_rules": quality.OP6_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
     }
