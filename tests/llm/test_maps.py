@@ -34,8 +34,9 @@ def test_roles_of_held_out_chats(spark):
 
 def test_rendering_keeps_the_words(spark):
     model = chat.train(transcripts(spark, 1, 120))
-    turns = chat.parse(model, "User: Hello there?\nAssistant: Yes.\n\nI am here.\nUser: Good.")
-    assert turns == [("user", "Hello there?"), ("assistant", "Yes.\n\nI am here."), ("user", "Good.")]
+    long = "Line 1 of the answer goes on at some length here.\nLine 2 of the answer goes on at some length here."
+    turns = chat.parse(model, f"User: How so?\nAssistant: {long}\nUser: Why is that?")
+    assert turns == [("user", "How so?"), ("assistant", long), ("user", "Why is that?")]
     assert chat.canonical(turns).count("<|end|>") == 3
 
 
