@@ -39,7 +39,7 @@ PRICES = {"open", "close", "high", "low", "mkt_open", "mkt_close", "prev_close",
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a few digits, as sums depend on order in the last ones; money volumes are large and take fewer, prices are exact and take more."""
-    places = lambda c: 3 if "dollar_volume" in c else 10 if c in PRICES else digits
+    places = lambda c: 3 if "avg_dollar_volume" in c else 8 if c == "dollar_volume" else 10 if c in PRICES else digits
     return df.select(*((F.round(c, places(c)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 

@@ -78,7 +78,7 @@ def r(names: str, digits: int = 6) -> str:
     out = []
     for part in names.split(";"):
         expr, _, name = part.strip().rpartition(" AS ")
-        out.append(f"round({expr or name}, {3 if 'dollar_volume' in name else 10 if name in PRICES else digits}) + 0.0 AS {name}")
+        out.append(f"round({expr or name}, {3 if 'avg_dollar_volume' in name else 8 if name == 'dollar_volume' else 10 if name in PRICES else digits}) + 0.0 AS {name}")
     return ", ".join(out)
 
 
