@@ -56,3 +56,13 @@ def test_edges(spark):
     df = edge_docs(spark)
     assert pii.find_all(df).count() == df.count() and pii.sanitise(df).count() == df.count()
     assert pii.find_all(df.limit(0)).count() == 0
+
+
+def test_pairs_in_one_or_two_documents(spark):
+    rows = [(i, f"the weather is fine today with the team number {i}") for i in range(3000)]
+    rows += [(5000, "today Ottoline wrote from once@mail.example.org"), (5001, "the team of Barnabas has twice@mail.example.org today"), (5002, "today Barnabas is at twice@mail.example.org")]
+    got = {r.doc_id: {s.value: s.kind for s in r.terms} for r in pii.find_all(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5000]["Ottoline"] == "term-generalise"
+    assert "Barnabas" in got[5001] and "Barnabas" in got[5002]
+    assert not any({"today", "team", "with"} & set(t) for t in got.values())
+    assert not any(got[i] for i in range(3000))

@@ -5,7 +5,8 @@ Each value found is a protected entity.  Terms near an entity may reveal it even
 when the value itself is taken out.  How strongly is estimated over the corpus, by
 document counts: with information content IC(e) = log(N / n_e), a term t tells
 PMI(t, e) = log(n_te * N / (n_t * n_e)) of it, and discloses the share
-PMI / IC.  From `GENERALISE` on, a term near that entity is generalised to its
+PMI / IC.  Every pair is scored, whatever its support: n_te counts less by `DISCOUNT`
+(absolute discounting), so few documents must tell more.  From `GENERALISE` on, a term near that entity is generalised to its
 kind; from `REMOVE` on it is removed.  Only documents that hold the entity lose
 terms.
 
@@ -41,9 +42,11 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"(?:\G|(?<!\p{L}))\p{L}{4,}+"
 NOT_LETTERS = r"[^\p{L}]+"
 #: Four letters or more, none beside them.
-#: Code points on either side of an entity that count as near; documents that must hold term and entity; shares disclosed.
+#: Code points on either side of an entity that count as near; documents that must hold term and entity in op3_pii, as
+#: OP3_SQL has it; what n_te counts less elsewhere; shares disclosed.
 NEAR = 80
 SUPPORT = 3
+DISCOUNT = 0.75
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -137,13 +140,13 @@ def near_terms(found: DataFrame) -> DataFrame:
     return terms.select("doc_id", "h", "entity", "t.term", "t.start", "t.stop")
 
 
-def _shares(counts: DataFrame, n: float) -> DataFrame:
-    """Adds `share`, PMI over information content, of counts (n_e, n_t, n_te) among n documents."""
-    pmi = F.ln(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
+def _shares(counts: DataFrame, n: float, discount: float) -> DataFrame:
+    """Adds `share`, PMI over information content, of counts (n_e, n_t, n_te less the discount) among n documents."""
+    pmi = F.ln((F.col("n_te") - discount if discount else F.col("n_te")) * F.lit(n) / (F.col("n_t") * F.col("n_e")))
     return counts.withColumn("share", F.coalesce(F.try_divide(pmi, F.ln(F.lit(n) / F.col("n_e"))), F.lit(0.0)))
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int = 1, least: float = GENERALISE, discount: float = DISCOUNT) -> DataFrame:
     """(entity, term, n_e, n_t, n_te, share): terms that disclose at least the share `least` of an entity.
 
     spans: (doc_id, h, base) of all documents; near: the terms near entities.
@@ -159,21 +162,21 @@ def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int
     counted = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_te")).filter(F.col("n_te") >= support)
     # Documents that hold a term near any entity are a lower bound of n_t, which rules out common words before all texts are counted.
     anywhere = pairs.select("doc_id", "h", "term", "m").distinct().groupBy("term").agg(F.sum("m").alias("n_t"))
-    pairs = _shares(counted.join(entities, "entity").join(anywhere, "term"), n).filter(F.col("share") >= least)
+    pairs = _shares(counted.join(entities, "entity").join(anywhere, "term"), n, discount).filter(F.col("share") >= least)
     pairs = materialise(pairs.drop("n_t", "share"), "pairs")
     # Counted whole and combined before the shuffle; only terms that are candidates meet the join.
     words = pick(docs, "text").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), NOT_LETTERS))).alias("term"))
     often = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    found = _shares(pairs.join(often, "term"), n).filter(F.col("share") >= least)
+    found = _shares(pairs.join(often, "term"), n, discount).filter(F.col("share") >= least)
     return found.select("entity", "term", "n_e", "n_t", "n_te", "share")
 
 
-def find_all(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_all(docs: DataFrame, support: int = 1, generalise: float = GENERALISE, remove: float = REMOVE, discount: float = DISCOUNT) -> DataFrame:
     """(doc_id, h, base, terms): base spans by kind and start, and the disclosing terms, whose kind says what to do with them."""
     found = find_base(docs)
     spans = materialise(found.select("doc_id", F.xxhash64("text").alias("h"), F.concat(*KINDS).alias("base")), "pii-base")
     near = materialise(near_terms(found), "near-terms")
-    told = disclosures(docs, spans, near, support, generalise)
+    told = disclosures(docs, spans, near, support, generalise, discount)
     kind = F.when(F.col("share") >= remove, F.lit("term-remove")).otherwise(F.lit("term-generalise"))
     told = told.select(F.col("entity").alias("e2"), F.col("term").alias("t2"), kind.alias("kind"))
     hits = near.join(told, (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2")))
@@ -201,13 +204,22 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     return df.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(done).alias("text"))
 
 
-def op3_pii(spark, sf_dir: str) -> DataFrame:
-    df = find_all(table(spark, sf_dir, "documents"))
+def _shown(df: DataFrame) -> DataFrame:
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return df.select("doc_id", *(count(k) for k in KINDS), F.sha2(told("base"), 256).alias("base_sha256"), told(F.concat("base", "terms")).alias("spans"))
 
 
+def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """The rule of OP3_SQL: pairs in fewer than SUPPORT documents tell nothing, all others count in full."""
+    return _shown(find_all(table(spark, sf_dir, "documents"), support=SUPPORT, discount=0.0))
+
+
+def op3_pii_every_pair(spark, sf_dir: str) -> DataFrame:
+    """The same columns, with every pair scored."""
+    return _shown(find_all(table(spark, sf_dir, "documents")))
+
+
 def _sql_matches(kind: str, order: int, pattern: str, source: str = "d", text: str = "t", keys: str = "doc_id") -> str:
     """SELECT of all matches with their places: pieces between matches and the matches themselves, added up."""
     values = f"regexp_extract_all({text}, '{pattern}')"
