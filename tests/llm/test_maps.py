@@ -180,6 +180,30 @@ def test_long_items_and_cut_passages(spark):
     assert got == {1, 2, 3}
 
 
+def test_cut_passages_of_every_offset(spark):
+    rng = random.Random(11)
+    texts = {n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))[: n - 1] + "x" for n in (50, 63, 150, 201, 450)}
+    least = decontam.PASSAGE
+    docs, want = [], {}
+    for n, text in texts.items():
+        for start in range(n - least + 1):
+            cut = text[start : start + least].strip()
+            if len(cut) == least:
+                want[len(docs)] = n
+                docs.append((len(docs), f"Intro zz{cut.upper()}zz tail {start}", cut))
+    for n in (201, 450):
+        want[len(docs)] = n
+        docs.append((len(docs), "before; " + texts[n][:183] + "; after", texts[n][:183]))
+    short = len(docs)
+    docs += [(short + k, f"Intro zz{texts[450][7 * k : 7 * k + least - 1]}zz tail", "") for k in range(57)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, cut string")
+    bench = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    got = decontam.find_leaks(df, bench).collect()
+    assert {r.doc_id: r.item_id for r in got} == want
+    assert all(docs[r.doc_id][1][r.start : r.stop].lower() == docs[r.doc_id][2] for r in got if r.item_id not in (50, 63) and r.edits == 0)
+    assert {r.doc_id for r in decontam.decontaminate(df, bench).collect()} == set(range(short, len(docs)))
+
+
 def test_decontamination_edges(spark):
     df = edge_docs(spark)
     bench = spark.createDataFrame([(None, "one two three four five six seven eight nine ten"), (1, None), (2, "short")], "item_id long, text string")

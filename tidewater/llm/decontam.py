@@ -7,6 +7,11 @@ m + 1 - q - k * q q-grams with it there, and these lie on at most k + 1 diagonal
 in overlapping diagonal bands of 2 * (k + 1), and only bands that meet the bound
 are aligned, within the band alone.
 
+Passages cut out of an item are found by their characters as they are: each stretch
+of `PASSAGE` characters that an item of any length and a text share, at whatever
+places, is a hit, and the region is the longest stretch of the text made of such.
+Where a window of the item is met too, the window's region is reported.
+
 Texts and items are compared in lower case (A-Z), each run of other ASCII characters
 than digits and letters as one space.  The windows are broadcast in slices of a
 bounded size, one pass over the texts for each slice.  Texts are not shuffled.
@@ -33,6 +38,8 @@ Q = 10
 WINDOW, STEP = 200, 100
 EDITS = 8
 MIN_CHARS = 24
+#: Characters that a cut passage must have at least, a multiple of Q.
+PASSAGE = 50
 #: Bytes of benchmark text that one pass looks for.
 SLICE_BYTES = 32 << 20
 CHUNK = 1 << 19
@@ -63,6 +70,15 @@ def grams(text: np.ndarray) -> np.ndarray:
     return both ^ (both >> np.uint64(29)) ^ (eight[Q - 8 :] * np.uint64(0xBF58476D1CE4E5B9))
 
 
+def stretches(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit number for the PASSAGE characters from each of some places, out of the q-grams side by side in them."""
+    mixed = np.zeros(len(at), np.uint64)
+    for k in range(0, PASSAGE, Q):
+        mixed = (mixed ^ own[at + k]) * MUL
+        mixed ^= mixed >> np.uint64(31)
+    return mixed
+
+
 def banded(pattern: np.ndarray, region: np.ndarray, width: int) -> tuple[int, int]:
     """Fewest edits between the pattern and a stretch of the region on `width` diagonals, and where that stretch ends."""
     m = len(pattern)
@@ -82,12 +98,15 @@ class Windows:
     """The windows of some items, with an index of their q-grams."""
 
     def __init__(self, items: list[tuple[object, bytes]], edits: int = EDITS):
-        self.items, self.text = [], []
+        self.items, self.text, self.keys, self.whole = [], [], [], []
         for key, raw in items:
             text, _ = normal(np.frombuffer(raw, np.uint8))
             text = text[: len(text) - 1] if len(text) and text[-1] == 0x20 else text
             if len(text) < MIN_CHARS:
                 continue
+            if len(text) >= PASSAGE:
+                self.keys.append(key)
+                self.whole.append(text)
             starts = list(range(0, len(text) - WINDOW, STEP)) + [max(0, len(text) - WINDOW)]
             for s in starts:
                 self.items.append(key)
@@ -103,10 +122,46 @@ class Windows:
         self.at = np.concatenate([np.arange(len(g)) for g in per])[order] if per else np.zeros(0, np.int64)
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[(self.gram * MUL) >> np.uint64(64 - TABLE_BITS)] = True
-
-    def bands(self, own: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        # Of a stretch that repeats within an item, one place is kept.
+        per = [np.unique(stretches(grams(t), np.arange(len(t) - PASSAGE + 1)), return_index=True) for t in self.whole]
+        flat = np.concatenate([h for h, _ in per]) if per else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.stretch = flat[order]
+        self.stretch_of = np.repeat(np.arange(len(per), dtype=np.int32), [len(h) for h, _ in per])[order]
+        self.stretch_at = np.concatenate([i for _, i in per]).astype(np.int32)[order] if per else np.zeros(0, np.int32)
+
+    def known(self, own: np.ndarray) -> np.ndarray:
+        """Whether each q-gram may be one of the items'."""
+        return self.seen[(own * MUL) >> np.uint64(64 - TABLE_BITS)]
+
+    def passages(self, own: np.ndarray, known: np.ndarray, joined: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first, after the last) of every longest stretch in a text made of an item's passages."""
+        n = len(own) - PASSAGE + Q
+        if n <= 0 or not len(self.stretch):
+            return
+        may = known[:n].copy()
+        for k in range(Q, PASSAGE, Q):
+            may &= known[k : k + n]
+        near = np.flatnonzero(may)
+        sought = stretches(own, near)
+        left = np.searchsorted(self.stretch, sought)
+        n = np.searchsorted(self.stretch, sought, side="right") - left
+        spot = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place, of = np.repeat(near, n), self.stretch_of[spot]
+        order = np.lexsort((place, of))
+        place, of, spot = place[order], of[order], spot[order]
+        if not len(place):
+            return
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)]))
+        for a, b in zip(first, np.append(first[1:], len(place)), strict=True):
+            item, at, start = int(of[a]), int(self.stretch_at[spot[a]]), int(place[a])
+            if np.array_equal(joined[start : start + PASSAGE], self.whole[item][at : at + PASSAGE]):
+                k = int(np.searchsorted(begins, start, side="right")) - 1
+                yield k, item, start - int(begins[k]), int(place[b - 1]) + PASSAGE - int(begins[k])
+
+    def bands(self, own: np.ndarray, known: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, window, first diagonal) of every band that meets the bound; own: q-grams of joined texts, which begin at `begins`."""
-        near = np.flatnonzero(self.seen[(own * MUL) >> np.uint64(64 - TABLE_BITS)])
+        near = np.flatnonzero(known)
         left = np.searchsorted(self.gram, own[near])
         right = np.searchsorted(self.gram, own[near], side="right")
         n = right - left
@@ -135,7 +190,7 @@ class Windows:
                 yield int(row[0] // len(self.items)), window, int(row[1] * (self.budget[window] + 1)) - WINDOW
 
     def hits(self, texts: list[bytes]) -> list[dict[object, tuple[int, int, int]]]:
-        """For each text: item -> (edits, first byte, byte after the last) of its best region."""
+        """For each text: item -> (edits, first byte, byte after the last) of its best region; a cut passage counts no edits."""
         found: list[dict] = [{} for _ in texts]
         if not self.items:
             return found
@@ -150,7 +205,9 @@ class Windows:
             joined = np.concatenate([x for f, _ in folded for x in (f, gap)])
             begins = np.cumsum([0] + [len(f) + Q for f, _ in folded])[:-1]
             met: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for k, window, diagonal in self.bands(grams(joined), begins):
+            own_grams = grams(joined)
+            known = self.known(own_grams)
+            for k, window, diagonal in self.bands(own_grams, known, begins):
                 met[k, window].append(diagonal)
             for (k, window), diagonals in met.items():
                 text, origin = folded[k]
@@ -167,6 +224,15 @@ class Windows:
                         own = found[at + k]
                         own[self.items[window]] = min(best, own.get(self.items[window], best))
                         break
+            longest: dict[tuple[int, int], tuple[int, int]] = {}
+            for k, item, first, stop in self.passages(own_grams, known, joined, begins):
+                if self.keys[item] not in found[at + k]:
+                    longest[k, item] = max(longest.get((k, item), (0, 0)), (stop - first, -first))
+            for (k, item), (size, first) in longest.items():
+                origin, first = folded[k][1], -first
+                best = (0, int(origin[first]), int(origin[first + size - 1]) + 1)
+                own = found[at + k]
+                own[self.keys[item]] = min(best, own.get(self.keys[item], best))
             at = end
         return found
 
