@@ -66,3 +66,14 @@ def test_pairs_in_one_or_two_documents(spark):
     assert "Barnabas" in got[5001] and "Barnabas" in got[5002]
     assert not any({"today", "team", "with"} & set(t) for t in got.values())
     assert not any(got[i] for i in range(3000))
+
+
+def test_terms_far_from_the_entity_and_short_ones(spark):
+    far = "the weather is fine today with the team number and so on " * 4
+    texts = [f"Li and \U0001d4b3 Ottoline {far}li@mail.example.org {far}Ottoline, Ottoline. Li (+1 555 555 0100)" for _ in range(3)]
+    rows = list(enumerate(texts)) + [(1, texts[1])] + [(10 + i, f"{far}{i}") for i in range(500)]
+    found = pii.find_all(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        want = {(m.start(), m.end(), m[0]) for m in re.finditer(r"(?<![^\W\d_])(Li|and|Ottoline|\U0001d4b3)(?![^\W\d_])", texts[r.doc_id]) if m[0] != "and"} if r.doc_id < 3 else set()
+        assert {(s.start, s.stop, s.value) for s in r.terms} == want
+    assert len(found) == len(rows)

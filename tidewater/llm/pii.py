@@ -1,18 +1,19 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 The base finds emails, ip addresses, card numbers and phone numbers by pattern.
-Each value found is a protected entity.  Terms near an entity may reveal it even
-when the value itself is taken out.  How strongly is estimated over the corpus, by
+Each value found is a protected entity.  Terms in a document that holds an entity may reveal it even
+when the value itself is taken out: all its words, of any length and at any distance.  How strongly is estimated over the corpus, by
 document counts: with information content IC(e) = log(N / n_e), a term t tells
 PMI(t, e) = log(n_te * N / (n_t * n_e)) of it, and discloses the share
 PMI / IC.  Every pair is scored, whatever its support: n_te counts less by `DISCOUNT`
-(absolute discounting), so few documents must tell more.  From `GENERALISE` on, a term near that entity is generalised to its
-kind; from `REMOVE` on it is removed.  Only documents that hold the entity lose
-terms.
+(absolute discounting), so few documents must tell more.  From `GENERALISE` on, the term is generalised to its
+kind; from `REMOVE` on it is removed, wherever it stands outside base spans.  Only documents that hold the entity lose
+terms.  `find_near` is the narrower rule of OP3_SQL: terms of four letters or more within
+`NEAR` code points, pairs in `SUPPORT` documents or more, no discount.
 
 Built-in functions only.  Texts are read twice (patterns, then the document counts of
-all words) and never shuffled; what moves is one row per word of a partition, and
-one per entity and nearby term, aggregated before they do.
+all words); only texts that hold an entity are shuffled.  What moves besides is one row per word of a partition, and
+one per entity and term, aggregated before they do.
 
 Defined results: a null text counts as empty and has no spans; a null doc_id is
 passed through; repeated rows get equal spans and each count as a document; an
@@ -21,7 +22,7 @@ empty table gives an empty result.  Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.shared import guarded, materialise, pick, table
@@ -41,6 +42,7 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 TERM = r"(?:\G|(?<!\p{L}))\p{L}{4,}+"
 NOT_LETTERS = r"[^\p{L}]+"
+PIECES = r"\p{L}++|\P{L}++"
 #: Four letters or more, none beside them.
 #: Code points on either side of an entity that count as near; documents that must hold term and entity in op3_pii, as
 #: OP3_SQL has it; what n_te counts less elsewhere; shares disclosed.
@@ -140,13 +142,19 @@ def near_terms(found: DataFrame) -> DataFrame:
     return terms.select("doc_id", "h", "entity", "t.term", "t.start", "t.stop")
 
 
-def _shares(counts: DataFrame, n: float, discount: float) -> DataFrame:
+def _shares(counts: DataFrame, n: float, discount: float = 0.0) -> DataFrame:
     """Adds `share`, PMI over information content, of counts (n_e, n_t, n_te less the discount) among n documents."""
     pmi = F.ln((F.col("n_te") - discount if discount else F.col("n_te")) * F.lit(n) / (F.col("n_t") * F.col("n_e")))
     return counts.withColumn("share", F.coalesce(F.try_divide(pmi, F.ln(F.lit(n) / F.col("n_e"))), F.lit(0.0)))
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int = 1, least: float = GENERALISE, discount: float = DISCOUNT) -> DataFrame:
+def _often(docs: DataFrame) -> DataFrame:
+    """(term, n_t) of all words: counted whole and combined before the shuffle; only terms that are candidates meet the join."""
+    words = pick(docs, "text").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), NOT_LETTERS))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(entity, term, n_e, n_t, n_te, share): terms that disclose at least the share `least` of an entity.
 
     spans: (doc_id, h, base) of all documents; near: the terms near entities.
@@ -162,29 +170,86 @@ def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int
     counted = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_te")).filter(F.col("n_te") >= support)
     # Documents that hold a term near any entity are a lower bound of n_t, which rules out common words before all texts are counted.
     anywhere = pairs.select("doc_id", "h", "term", "m").distinct().groupBy("term").agg(F.sum("m").alias("n_t"))
-    pairs = _shares(counted.join(entities, "entity").join(anywhere, "term"), n, discount).filter(F.col("share") >= least)
+    pairs = _shares(counted.join(entities, "entity").join(anywhere, "term"), n).filter(F.col("share") >= least)
     pairs = materialise(pairs.drop("n_t", "share"), "pairs")
-    # Counted whole and combined before the shuffle; only terms that are candidates meet the join.
-    words = pick(docs, "text").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), NOT_LETTERS))).alias("term"))
-    often = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    found = _shares(pairs.join(often, "term"), n, discount).filter(F.col("share") >= least)
+    found = _shares(pairs.join(_often(docs), "term"), n).filter(F.col("share") >= least)
     return found.select("entity", "term", "n_e", "n_t", "n_te", "share")
 
 
-def find_all(docs: DataFrame, support: int = 1, generalise: float = GENERALISE, remove: float = REMOVE, discount: float = DISCOUNT) -> DataFrame:
-    """(doc_id, h, base, terms): base spans by kind and start, and the disclosing terms, whose kind says what to do with them."""
+def _same_text(left: Column, right: Column) -> Column:
+    return left.eqNullSafe(F.col("d2")) & (right == F.col("h2"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"doc_id": "d2", "h": "h2"})
+
+
+def _with_terms(spans: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, h, base, terms) from the base spans of all rows, and (doc_id, h, start, stop, kind, value) of terms."""
+    own = hits.groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("terms"))
+    df = spans.join(own, _same_text(F.col("doc_id"), F.col("h")), "left")
+    return df.select("doc_id", "h", "base", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
+
+
+def find_near(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """What find_all gives, but by the rule of OP3_SQL."""
     found = find_base(docs)
     spans = materialise(found.select("doc_id", F.xxhash64("text").alias("h"), F.concat(*KINDS).alias("base")), "pii-base")
     near = materialise(near_terms(found), "near-terms")
-    told = disclosures(docs, spans, near, support, generalise, discount)
+    told = disclosures(docs, spans, near, support, generalise)
     kind = F.when(F.col("share") >= remove, F.lit("term-remove")).otherwise(F.lit("term-generalise"))
     told = told.select(F.col("entity").alias("e2"), F.col("term").alias("t2"), kind.alias("kind"))
     hits = near.join(told, (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2")))
     # Of a term near two entities the stronger verdict holds.
     hits = hits.groupBy("doc_id", "h", "start", "stop").agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
-    own = hits.groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("terms"))
-    df = spans.join(own, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
-    return df.select("doc_id", "h", "base", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
+    return _with_terms(spans, hits)
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    """(doc_id, h, m, key, n_e, term): the entities of a text with each of its words.  Entities of one text alone share all counts, so one key stands for them."""
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    each = held.select("doc_id", "h", "m", F.explode(entities).alias("entity"))
+    each = each.join(each.groupBy("entity").agg(F.sum("m").alias("n_e")), "entity")
+    key = F.when(F.col("n_e") == F.col("m"), F.concat_ws(":", F.lit("one text"), "h", "doc_id")).otherwise(F.col("entity"))
+    keys = _named(each.groupBy("doc_id", "h").agg(F.collect_set(F.struct(key.alias("key"), "n_e")).alias("keys")))
+    words = held.select("doc_id", "h", "m", F.array_remove(F.array_distinct(F.split("text", NOT_LETTERS)), "").alias("words"))
+    df = words.join(keys, _same_text(F.col("doc_id"), F.col("h"))).select("doc_id", "h", "m", "words", F.explode("keys").alias("k"))
+    return df.select("doc_id", "h", "m", "k.key", "k.n_e", F.explode("words").alias("term"))
+
+
+def _places(held: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(doc_id, h, start, stop, kind, value): all places of the terms of each text, given as (doc_id, h, term, kind), but those in base spans."""
+    told = _named(verdicts)
+    df = held.join(told.select("d2", "h2").distinct(), _same_text(F.col("doc_id"), F.col("h")), "left_semi")
+    df = df.select("doc_id", "h", F.posexplode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("i", "value"))
+    so_far = Window.partitionBy("doc_id", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("stop", F.sum(F.length("value")).over(so_far).cast("int"))
+    df = df.join(told, _same_text(F.col("doc_id"), F.col("h")) & (F.col("value") == F.col("term")))
+    df = df.select("doc_id", "h", (F.col("stop") - F.length("value")).alias("start"), "stop", "kind", "value")
+    df = df.join(_named(held.select("doc_id", "h", "base")), _same_text(F.col("doc_id"), F.col("h")))
+    return df.filter(~F.exists("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))).drop("d2", "h2", "base")
+
+
+def find_all(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, discount: float = DISCOUNT) -> DataFrame:
+    """(doc_id, h, base, terms): base spans by kind and start, and the disclosing terms, whose kind says what to do with them."""
+    found = find_base(docs).select("doc_id", "text", F.xxhash64("text").alias("h"), F.concat(*KINDS).alias("base"))
+    spans = materialise(found.drop("text"), "pii-base")
+    n = float(max(spans.count(), 1))
+    held = guarded(found).filter("size(base) > 0 AND __row >= 0").groupBy("doc_id", "h")
+    held = materialise(held.agg(F.count("*").alias("m"), F.first("text").alias("text"), F.first("base").alias("base")), "pii-held")
+    pairs = materialise(_pairs(held), "pairs")
+    # Documents that hold a term and any entity are a lower bound of n_t, which rules out common words before all texts are counted.
+    words = held.select("m", F.explode(F.array_distinct(F.split("text", NOT_LETTERS))).alias("term"))
+    anywhere = words.groupBy("term").agg(F.sum("m").alias("n_t"))
+    counted = pairs.groupBy("key", "n_e", "term").agg(F.sum("m").alias("n_te"))
+    likely = _shares(counted.join(anywhere, "term"), n, discount).filter(F.col("share") >= generalise)
+    likely = materialise(likely.drop("n_t", "share"), "likely")
+    told = _shares(likely.join(_often(docs), "term"), n, discount).filter(F.col("share") >= generalise)
+    kind = F.when(F.col("share") >= remove, F.lit("term-remove")).otherwise(F.lit("term-generalise"))
+    told = told.select("key", "term", kind.alias("kind"))
+    # Of a term of two entities the stronger verdict holds.
+    verdicts = pairs.join(told, ["key", "term"]).groupBy("doc_id", "h", "term").agg(F.max("kind").alias("kind"))
+    return _with_terms(spans, _places(held, materialise(verdicts, "verdicts")))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
@@ -211,12 +276,12 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    """The rule of OP3_SQL: pairs in fewer than SUPPORT documents tell nothing, all others count in full."""
-    return _shown(find_all(table(spark, sf_dir, "documents"), support=SUPPORT, discount=0.0))
+    """The rule of OP3_SQL: nearby terms of four letters or more, in SUPPORT documents or more."""
+    return _shown(find_near(table(spark, sf_dir, "documents")))
 
 
 def op3_pii_every_pair(spark, sf_dir: str) -> DataFrame:
-    """The same columns, with every pair scored."""
+    """The same columns, with every pair of an entity and a word of its documents scored."""
     return _shown(find_all(table(spark, sf_dir, "documents")))
 
 
