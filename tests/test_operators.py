@@ -195,3 +195,22 @@ def test_decisions_fire_once_per_day(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("signals").filter("ticker = 'A' AND official").collect()
     assert [(str(r.day), r.n_bins, r.sess_open, r.sess_close) for r in got if str(r.day) == "2024-01-02"] == [("2024-01-02", 13, 10.0, 28.0)]
+
+
+def test_registered_models_are_trained_in_full(spark, monkeypatch):
+    seen = []
+
+    def told(*args, **options):
+        seen.append((args, options))
+        raise InterruptedError
+
+    monkeypatch.setattr(ml, "capture_pipeline", told)
+    monkeypatch.setattr(ml, "text_pipeline", told)
+    for name in ("capture_model_gbt", "text_sector_model", "confusion_pairs"):
+        with pytest.raises(InterruptedError):
+            cat.CATALOGUE[name](spark, SF)
+    (kind, numeric, categorical), options = seen[0]
+    assert kind == "gbt" and not options and seen[1:] == [((), {})] * 2
+    event = {"div_yield", "cash_amount", "frequency", "n_distributions", "pre_vol", "pre_avg_ret", "pre_avg_abn_ret", "pre_avg_dollar_volume", "days_decl_to_ex"}
+    assert event <= set(numeric) and set(categorical) == {"sec_type", "sic_description"}
+    assert {*numeric, *categorical} <= set(cat.capture_rows(spark, SF).columns)

@@ -442,19 +442,30 @@ def stream_static_join(spark, d):
 
 # ------------------------------------------------------------- rows-only ML
 
-NUMERIC = ("div_yield", "cash_amount", "days_decl_to_ex", "ex_month")
+#: The reference's nine event features, and the month.  Without decision-day prices the yield is that of the close before.
+NUMERIC = ("div_yield", "cash_amount", "frequency", "n_distributions", "pre_vol", "pre_avg_ret", "pre_avg_abn_ret", "pre_avg_dollar_volume", "days_decl_to_ex", "ex_month")
+CATEGORICAL = ("sec_type", "sic_description")
+
+
+def capture_rows(spark, d) -> DataFrame:
+    """Training rows with the ticker's type and description, UNKNOWN where there is none; missing numbers are filled as the reference does."""
+    meta = ref.prefer_active(fx.metadata(spark, d)).select(F.col("ticker").alias("__t"), F.col("type").alias("sec_type"), "sic_description")
+    rows = ml.training_rows(grain(spark, d), MARKET)
+    rows = rows.join(meta, F.col("ticker") == F.col("__t"), "left").fillna("UNKNOWN", list(CATEGORICAL))
+    told = {"pre_vol": 0.0, "pre_avg_ret": 0.0, "pre_avg_abn_ret": 0.0, "days_decl_to_ex": -1, "n_distributions": 1, "frequency": 0}
+    return rows.fillna(told).select("ticker", "ex_date", "capture_ret_abn", "label", *NUMERIC, *CATEGORICAL)
 
 
 def _fit(spark, d, kind: str, **options):
-    rows = ml.training_rows(grain(spark, d), MARKET).select("ticker", "ex_date", "capture_ret_abn", "label", "frequency", *NUMERIC).na.drop().cache()
+    rows = capture_rows(spark, d).na.drop().cache()
     train, test = ml.temporal_split(rows, "1996-12-31")
-    model = ml.capture_pipeline(kind, NUMERIC, ("frequency",), **options).fit(train)
+    model = ml.capture_pipeline(kind, NUMERIC, CATEGORICAL, **options).fit(train)
     return model, model.transform(test)
 
 
 @query
 def capture_model_gbt(spark, d):
-    return ml.evaluate(_fit(spark, d, "gbt", maxIter=10)[1])
+    return ml.evaluate(_fit(spark, d, "gbt")[1])
 
 
 @query
@@ -472,7 +483,7 @@ def _text(spark, d) -> tuple[object, DataFrame]:
     docs = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("description"), F.col("lang").alias("sector"))
     docs = ref.dedupe_text(docs, "description", "doc_id")
     train, test = docs.randomSplit([0.8, 0.2], seed=42)
-    model = ml.text_pipeline(1 << 12).fit(train)
+    model = ml.text_pipeline().fit(train)
     return model, ml.with_predicted_label(model, model.transform(test))
 
 
