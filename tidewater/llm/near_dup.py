@@ -6,7 +6,7 @@ smallest of its set.  The steps:
 1. Texts with equal sets form a class, which its smallest doc_id stands for.
 2. Inverted lists hold, for a retained value, the classes that retain it.  A pair
    at the threshold shares a part of its sketch (`sketch_share`) but for a chance
-   below one in a million, so each class enters lists only for its rarest values, as
+   below three in a million, so each class enters lists only for its rarest values, as
    many as guarantee a common one (a prefix filter in order of rarity).  Values
    that one class alone retains make no list.
 3. In each list a leader meets the others.  The union sketch (the k smallest of
