@@ -1,11 +1,13 @@
 import random
 import re
+from fractions import Fraction
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pytest
 
-from tests.llm.helpers import TEXTS, edge_docs
+from tests.llm.helpers import TEXTS, edge_docs, random_texts
 from tidewater.llm import near_dup
 from tidewater.llm.shingles import shingle_set, text_words
 
@@ -71,11 +73,37 @@ def test_components_match_all_pairs(spark, size, percent, seed):
     assert got == {i: (len(shingles(t, size)), want[i]) for i, t in docs}
 
 
-def test_long_lists_are_split_on_further_values(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "SHORT_LIST", 2)
-    docs = corpus(5)
-    got = {r.doc_id: r.component_id for r in near_dup.link_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()}
-    assert got == classes(docs, 3, 85)
+@pytest.mark.parametrize("exact", [False, True])
+def test_edited_copies_below_the_threshold_lose_no_link(spark, exact):
+    """A large group of copies with so many edits that most pairs miss the threshold, and some pairs hold on only to each other."""
+    rng = random.Random(5)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(90)]
+    texts = [changed(rng, base, rng.randint(0, 9)) for _ in range(60)]
+    for _ in range(12):
+        far = changed(rng, base, rng.randint(4, 9))
+        texts += [far, [w for k, w in enumerate(far) if k not in (5, 50)], changed(rng, far, 1)]
+    docs = list(enumerate(" ".join(t) for t in texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.link_components(df, 3, 85, exact=exact).collect()}
+    assert got == classes(docs, 3, 85) and 3 < len(set(got.values())) < len(docs)
+
+
+def test_sketch_bound_is_the_binomial_tail():
+    for percent, k in ((85, 64), (80, 64), (85, 1), (50, 10)):
+        t, m = Fraction(percent, 100), near_dup.sketch_least(percent, k)
+        below = lambda n: sum(comb(k, j) * t**j * (1 - t) ** (k - j) for j in range(n))  # noqa: B023, E731
+        assert below(m) < near_dup.MISS <= below(m + 1)
+
+
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    texts = random_texts(4, 9, 80)
+    texts = [t + " tail of the text" for t in texts]
+    docs = [(5, texts[0]), (5, texts[1]), (5, texts[2]), (9, texts[1]), (7, texts[2] + " x"), (8, texts[3]), (8, texts[3])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_dup.link_components(df, 3, 50).collect()}
+    assert got == {(5, 5), (9, 5), (7, 5), (8, 8)}
+    kept = [tuple(r) for r in near_dup.keep_one(df, 3, 50).collect()]
+    assert sorted(kept) == [(5, min(texts[:3])), (8, texts[3])]
 
 
 def test_components_of_chains_and_stars(spark):

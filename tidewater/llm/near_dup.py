@@ -3,154 +3,138 @@
 One hash function maps shingles to 64-bit numbers; a text's sketch is the k
 smallest of its set.  The steps:
 
-1. Texts with equal sets form a class, which its smallest doc_id stands for.
-2. Inverted lists hold, for a retained value, the classes that retain it.  A pair
-   at the threshold shares a part of its sketch (`sketch_share`) but for a chance
-   below three in a million, so each class enters lists only for its rarest values, as
-   many as guarantee a common one (a prefix filter in order of rarity).  Values
-   that one class alone retains make no list.
-3. In each list a leader meets the others.  The union sketch (the k smallest of
-   both) estimates their similarity, and likely links are compared on full
-   sets.  Links join components; later rounds compare only across components,
-   so a group of n copies costs about n comparisons and never n * n.
-4. Lists that still span components are finished: short ones by all their pairs
-   across components, long ones by splitting them on a second (third, ...)
-   common value, which a pair at the threshold must also share.
+1. Texts with equal sets form a class, a node of what follows.
+2. Inverted lists hold, for a retained value, the nodes that retain it.  Two nodes
+   at the threshold have at least `sketch_least` values of their sketches in common,
+   but for a chance below one in a million, so a node that shares fewer with all
+   others together is alone, and the others enter only the lists of their rarest
+   values, as many as guarantee a common one (a prefix filter in order of rarity).
+3. The leader of a list is its node with the smallest part of shingles that no other
+   candidate has: in a group of edited copies, the one closest to what they were
+   copied from.  Every node of a list meets its leader on full sets.  Pairs that
+   reach the threshold are links; links join components.
+4. Two nodes a, b under one leader L that are still in different components are
+   compared only if they can be alike.  Let x be the size of a node's difference to L, u
+   the part of it that no other candidate has, r = x - u.  The unshared parts can't
+   meet and the others differ by |r_a - r_b| at least, so
+       |a symmetric difference b| >= u_a + u_b + |r_a - r_b|,
+   which rules out nearly all pairs of a large group of edited copies whose differences
+   are their own.  What is left passes the union sketch (the k smallest of both) and
+   then the exact comparison of full sets.
 
 Components are found by alternating star contraction over the links, each round
-written to the shared folder.  Nothing of the kind is gathered on the driver.
+written to the shared folder.  Nothing of the kind is gathered on the driver, and no
+step lists all pairs of a group.
+
+With `exact`, sketches are whole sets: candidate search then misses nothing, for more
+work and disk.
 
 Defined results: texts without words, and null ones, have the empty set and are
 linked with nothing; a null doc_id is never linked and keeps a null component;
-rows that share a doc_id are one node with several texts; an empty table gives an
-empty result.
+rows that share a doc_id are one document with several texts, linked with whatever
+one of them is; repeated rows get equal results; texts of any length are taken whole, in
+pieces of bounded memory; ties of leaders go by a hash of the set and don't change the
+result; further columns, whatever their names, are not looked at; an empty table gives
+an empty result.  doc_id must be an integer or text that casts to one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import materialise, pick, table
+from tidewater.llm.shared import byte_runs, drop_tables, materialise, pick, small_batches, table
 from tidewater.llm.shingles import shingle_set, text_words
 
 K = 64
-SHORT_LIST = 48
-#: Common values on which long lists are split at most; what is left then is compared in full.
-MAX_LEVEL = 4
+#: The chance that a pair at the threshold has fewer values in common than `sketch_least` asks for is below this.
+MISS = 1e-6
 BROADCAST_IDS = 1_000_000
-#: Larger than any retained value, but for a chance of 2^-64.
-PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
-
+#: Bands of the bound in step 4, so that a node meets only those that its own bound allows: so many, with four to a doubling.
+BANDS = 16
 
-def sketch_share(percent: int, k: int = K) -> float:
-    """The part of a union sketch that a pair at the threshold has in common, less five standard deviations."""
-    t = percent / 100
-    return t - 5.2 * (t * (1 - t) / k) ** 0.5
 
+@lru_cache(maxsize=64)
+def sketch_least(percent: int, k: int) -> int:
+    """The most values m such that a union sketch of k has fewer than m in common with a chance below MISS, at the threshold.
 
-def _matrix(column: pa.Array, k: int) -> np.ndarray:
-    """Lists of at most k numbers as rows, filled up with PAD."""
-    flat, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
-    out = np.full((len(column), k), PAD, np.uint64)
-    size = np.diff(ends)
-    row = np.repeat(np.arange(len(column)), size)
-    out[row, np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], size)] = flat[ends[0] : ends[-1]]
-    return out
+    By the binomial tail, which is above that of drawing without return.
+    """
+    t, tail = percent / 100, 0.0
+    for m in range(k + 1):
+        tail += comb(k, m) * t**m * (1 - t) ** (k - m)
+        if tail >= MISS:
+            return m
+    return k
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sketch): the size of each set, two hashes that name it, and its k smallest values."""
-    df = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def _text_sets(docs: DataFrame, words: int, k: int | None, whole: bool) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b, values): the size of each set, two hashes that name it, and its k smallest values (all, if `whole`)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in byte_runs(batches, 1):
             sets = [shingle_set(w, words) for w in text_words(batch.column(1).to_pylist())]
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            kept = sets if whole or k is None else [s[:k] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), _lists([s[:k] for s in sets])],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), _lists(kept)],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "values"],
             )
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, values array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def sketches(docs: DataFrame, words: int, k: int | None = K) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b, values) of every row; k = None keeps whole sets."""
+    return _text_sets(_texts(docs), words, k, False)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the sets of the documents in ids(node)."""
-    df = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    """What `sketches` gives, with whole sets, of the documents in ids(of)."""
     own = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return _text_sets(_texts(docs).join(own, F.col("doc_id") == F.col("of"), "left_semi"), words, None, True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(w, words) for w in text_words(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    return df.join(own, "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+def _prefixes(nodes: DataFrame, percent: int, k: int | None) -> DataFrame:
+    """(node, lists): the values whose lists each node enters, of those nodes that may be linked at all."""
+    n = F.col("n_shingles")
+    exact = F.ceil(n * percent / F.lit(100.0)).cast("int")
+    # Up to a set of k * percent / 100 its partners' sets are within the sketch, too, and nothing is left to chance.
+    least = exact if k is None else F.when(100 * n <= percent * k, exact).otherwise(F.lit(sketch_least(percent, k)))
+    values = nodes.select("node", least.alias("least"), F.explode("values").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    held = values.join(often, "value").groupBy("node", "least").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))
+    # Values that one node alone retains are the rarest and make no list; of the shared ones, all but least - 1 head the order.
+    held = held.filter(F.size("v") >= F.col("least"))
+    return held.select("node", F.transform(F.slice("v", F.lit(1), F.size("v") - F.col("least") + 1), lambda x: x["value"]).alias("lists"))
 
 
-def _rarest(reps: DataFrame, share: float) -> DataFrame:
-    """(node, size, need, shared): each class's shared values, rarest first, and how many of them head its lists."""
-    values = reps.select("node", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    held = values.join(often, "value")
-    gathered = held.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))
-    single = F.col("size") - F.size("v")
-    need = F.col("size") - F.ceil(F.lit(share) * F.col("size")) + 1 - single
-    return gathered.select("node", need.cast("int").alias("need"), F.transform("v", lambda x: x["value"]).alias("shared"))
-
-
-def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    share = sketch_share(percent, k)
-    left = reps.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = reps.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    met = pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "sa", "sb")
-
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Both sketches of a pair in one sorted row: a value that follows its equal is common, and the first k distinct ones are the union sketch.
-            both = np.concatenate([_matrix(batch.column(c), k) for c in (2, 3)], axis=1)
-            both.sort(axis=1)
-            common = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != PAD)
-            rank = np.cumsum(~np.concatenate([np.zeros((len(both), 1), bool), common], axis=1), axis=1)
-            size = np.minimum(k, (rank * (both != PAD)).max(axis=1))
-            shared = (common & (rank[:, 1:] <= k)).sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(shared >= share * size, pa.bool_()))
-
-    likely = met.mapInArrow(estimate, "a long, b long")
-    full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").select("a", "b", "xa", "xb")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                merged = np.concatenate([x, y])
-                merged.sort()
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return full.mapInArrow(confirm, "a long, b long")
+def _reaches(common: Column, a: Column, b: Column, percent: int) -> Column:
+    return 100 * common >= percent * (a + b - common)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges(a, b) reaches, by alternating large and small stars."""
+    spark, last = edges.sparkSession, None
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -160,6 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("c"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = materialise(small, "edges")
+        drop_tables(spark, last)
+        last = edges
         # Done once every node is either the end of one edge or the centre of a star.
         roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
         roles = roles.groupBy("n").agg(F.sum("child").alias("child"), F.max("centre").alias("centre"))
@@ -167,114 +153,149 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (node, component) with further links(a, b) taken in."""
-    if labels is None:
-        return components(links)
-    named = lambda c: labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
-    met = links.join(named("a"), F.col("a") == F.col("na"), "left").join(named("b"), F.col("b") == F.col("nb"), "left")
-    moved = components(met.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
-    moved = materialise(moved, "moved")
-    kept = labels.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
-    fresh = moved.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
-    return materialise(kept.union(fresh), "labels")
-
-
-def _placed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Lists (key, node, ...) with the component that each node has so far."""
-    if labels is None:
-        return lists.withColumn("component", F.col("node"))
-    named = labels.select(F.col("node").alias("of"), F.col("component").alias("found"))
-    df = lists.join(named, F.col("node") == F.col("of"), "left")
-    return df.withColumn("component", F.coalesce("found", "node")).drop("of", "found")
-
-
-def _open(placed: DataFrame) -> DataFrame:
-    """The lists that span components, with their length `n`."""
-    span = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    return placed.join(span.select("key", "n"), "key")
+def _placed(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
+    """Adds `out`: the component that each node has so far, itself if none."""
+    named = labels.select(F.col("node").alias("__of"), F.col("component").alias("__in"))
+    return df.join(named, F.col(node) == F.col("__of"), "left").withColumn(out, F.coalesce("__in", node)).drop("__of", "__in")
+
+
+def _facts(own: DataFrame, percent: int) -> DataFrame:
+    """(node, n, alone, rank): set size and shingles that no other candidate has, of the nodes that the rest could link."""
+    values = own.select("node", F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    alone = values.filter("c = 1").groupBy("node").agg(F.count("*").alias("u")).withColumnRenamed("node", "of")
+    df = own.select("node", F.col("n_shingles").alias("n"), "set_a").join(alone, F.col("node") == F.col("of"), "left")
+    df = df.select("node", "n", F.coalesce("u", F.lit(0)).cast("long").alias("alone"), "set_a").filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    return df.select("node", "n", "alone", F.struct((F.col("alone") / F.col("n")).alias("part"), "set_a").alias("rank"))
+
+
+def _stars(prefixes: DataFrame, facts: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, n, alone, lead, n_lead, common): every node with the leaders of its lists, and the size of their intersection."""
+    lists = prefixes.join(facts, "node").select(F.explode("lists").alias("key"), "node", "n", "alone", "rank")
+    heads = lists.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("m")).select("key", F.col("m.node").alias("lead"), F.col("m.n").alias("n_lead"))
+    met = lists.join(heads, "key").filter("node <> lead").select("node", "n", "alone", "lead", "n_lead").distinct()
+    met = met.join(own.select("node", F.col("values").alias("x")), "node")
+    met = met.join(own.select(F.col("node").alias("of"), F.col("values").alias("y")), F.col("lead") == F.col("of"))
+    return met.select("node", "n", "alone", "lead", "n_lead", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+
+
+def _rest(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs under one leader, in different components, that the bound of step 4 lets through."""
+    # With p the threshold, a difference d is small enough if (100 + p) d <= (100 - p)(|a| + |b|).  In these units, and the bound
+    # above written as the larger of high_a + low_b and high_b + low_a, both of these must be 0 at most.
+    differs = F.col("n") + F.col("n_lead") - 2 * F.col("common")
+    shared = differs - F.col("alone")
+    room = (100 - percent) * F.col("n")
+    df = stars.select("lead", "node", "n", "n_lead", ((100 + percent) * differs - room).alias("high"), ((100 + percent) * (F.col("alone") - shared) - room).alias("low"))
+    df = materialise(_placed(_placed(df, labels, "node", "at"), labels, "lead", "home").withColumn("out", F.col("at") != F.col("home")), "entries")
+    # One of each pair is outside its leader's component, hence not linked with it, hence its `high` is above 0.
+    unit = (100 - percent) * F.col("n_lead").cast("double")
+    band = lambda x: F.least(F.lit(BANDS - 1), F.greatest(F.lit(0), F.floor(4 * F.log2(F.greatest(x / unit, F.lit(1e-9)))))).cast("int")
+    seeks = df.filter("out").select("lead", F.col("node").alias("a"), F.col("n").alias("na"), F.col("high").alias("ha"), F.col("low").alias("la"), F.col("at").alias("ca"), F.explode(F.sequence(band(F.col("high").cast("double")), F.lit(BANDS - 1))).alias("band"))
+    least = df.filter("out").groupBy("lead").agg(F.min("high").alias("least"))
+    other = df.join(least, "lead").filter(F.col("low") + F.col("least") <= 0)
+    other = other.select("lead", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("high").alias("hb"), F.col("low").alias("lb"), F.col("at").alias("cb"), F.col("out").alias("ob"), band(-F.col("low").cast("double")).alias("band"))
+    fits = (F.col("ha") + F.col("lb") <= 0) & (F.col("hb") + F.col("la") <= 0) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = seeks.join(other, ["lead", "band"]).filter(fits & (F.col("ca") != F.col("cb")) & (~F.col("ob") | (F.col("a") < F.col("b")))).select("a", "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, own: DataFrame, percent: int, k: int | None) -> DataFrame:
+    """The pairs (a, b) whose union sketch, and then whose full sets, reach the threshold."""
+    if k is not None:
+        met = pairs.join(nodes.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
+        met = met.withColumn("union", F.slice(F.array_sort(F.array_union("x", "y")), 1, k))
+        size = F.size("union")
+        least = F.when(size < k, F.ceil(size * percent / F.lit(100.0))).otherwise(F.lit(sketch_least(percent, k)))
+        # A value of the union sketch that either holds is in its own sketch.
+        pairs = met.filter(F.size(F.array_intersect("union", F.array_intersect("x", "y"))) >= least).select("a", "b")
+    full = pairs.join(own.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("values").alias("x")), "a")
+    full = full.join(own.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("values").alias("y")), "b")
+    return full.filter(_reaches(F.size(F.array_intersect("x", "y")), F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
+def _same_document(named: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(a, b): the nodes of texts that share a doc_id, or None where none do."""
+    sets = F.struct("set_a", "set_b")
+    several = named.groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("of"), "lo")
+    several = materialise(several, "several")
+    if several.isEmpty():
+        return None
+    key = lambda c: nodes.select(F.col("node").alias(c), F.struct("set_a", "set_b").alias(f"set_{c}"))
+    met = named.select("doc_id", sets.alias("own")).join(several, F.col("doc_id") == F.col("of")).select("own", "lo").distinct()
+    return met.join(key("a"), F.col("own") == F.col("set_a")).join(key("b"), F.col("lo") == F.col("set_b")).select("a", "b")
 
 
-def link_components(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+def _label(docs: DataFrame, named: DataFrame, nodes: DataFrame, words: int, percent: int, k: int | None) -> DataFrame | None:
+    """(node, component) of the nodes that have links, or None where nothing has."""
+    spark = docs.sparkSession
+    same = _same_document(named, nodes)
+    prefixes = materialise(_prefixes(nodes, percent, k), "prefixes")
+    some = materialise(nodes.join(prefixes.select("node"), "node", "left_semi"), "candidates")
+    if some.isEmpty():
+        return None if same is None else components(same)
+    sets = full_sets(docs, some.select(F.col("doc").alias("of")).distinct(), words).drop("doc_id", "n_shingles")
+    own = materialise(some.drop("values").join(sets, ["set_a", "set_b"]), "sets")
+    if not own.groupBy("node").count().filter("count > 1").isEmpty():
+        own = materialise(own.dropDuplicates(["node"]), "sets")
+    facts = materialise(_facts(own, percent), "facts")
+    stars = materialise(_stars(prefixes, facts, own), "stars")
+    links = stars.filter(_reaches(F.col("common"), F.col("n"), F.col("n_lead"), percent)).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    labels = components(links if same is None else links.union(same))
+    rest = materialise(_rest(stars, labels, percent), "rest")
+    late = materialise(_confirmed(rest, some, own, percent, k), "links")
+    if not late.isEmpty():
+        joined = _placed(_placed(late, labels, "a", "ca"), labels, "b", "cb")
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joined.select("ca", "cb")))
+    drop_tables(spark, prefixes, some, own, facts, stars, rest, late)
+    return labels
+
+
+def link_components(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, exact: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
-    every = materialise(sketches(docs, words, k), "sketches")
+    kept = None if exact else k
+    every = materialise(sketches(docs, words, kept), "sketches")
     named = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialise(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    ordered = materialise(_rarest(classes, sketch_share(percent, k)).filter("need > 0"), "prefixes")
-    labels = _label(docs, classes, ordered, words, percent, k)
-    placed = classes.select("set_a", "set_b", "node")
+    classes = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("values").alias("values"))
+    # Numbers given once and written: whatever order they are in, a node keeps its own.
+    nodes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    labels = _label(docs, named, nodes, words, percent, kept)
+    light = nodes.select("set_a", "set_b", "doc", "rows", "node")
     if labels is None:
-        placed = placed.withColumn("component", F.col("node"))
+        placed = light.filter("rows > 1").select(F.col("set_a").alias("pa"), F.col("set_b").alias("pb"), F.col("doc").alias("found"))
     else:
-        placed = placed.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.select(F.col("set_a").alias("pa"), F.col("set_b").alias("pb"), "component")
+        named_by = labels.select(F.col("node").alias("of"), "component").union(labels.select("component", "component").distinct())
+        joined = light.join(named_by, F.col("node") == F.col("of"), "left").filter("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+        least = joined.groupBy("component").agg(F.min("doc").alias("found")).withColumnRenamed("component", "c2")
+        placed = joined.join(least, F.col("component") == F.col("c2")).select(F.col("set_a").alias("pa"), F.col("set_b").alias("pb"), "found")
+    placed = materialise(placed, "placed")
+    drop_tables(docs.sparkSession, nodes)
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    joined = every.drop("sketch").join(placed, (F.col("set_a") == F.col("pa")) & (F.col("set_b") == F.col("pb")) & linked, "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _label(docs: DataFrame, classes: DataFrame, ordered: DataFrame, words: int, percent: int, k: int) -> DataFrame | None:
-    """(node, component) of the nodes that have links, or None where nothing has."""
-    some = ordered.select("node").distinct()
-    n = some.count()
-    if not n:
-        return None
-    some = F.broadcast(some) if n <= BROADCAST_IDS else some
-    own = materialise(classes.join(some, "node", "left_semi"), "candidates")
-    sets = materialise(full_sets(docs, some, words), "sets")
-    if sets.count() > n:
-        sets = sets.dropDuplicates()
-    # Rows that share a doc_id but not a text need no link: they are one node already.
-    lists = materialise(ordered.select("node", F.explode(F.slice("shared", F.lit(1), F.col("need"))).alias("value")).select(F.col("value").alias("key"), F.array("value").alias("used"), "node"), "lists")
-    labels = None
-    level = 1
-
-    def linked(pairs: DataFrame) -> DataFrame | None:
-        found = materialise(_links(pairs, own, sets, percent, k), "links")
-        return labels if found.isEmpty() else _merged(labels, found)
-
-    def leaders(alive: DataFrame, rank) -> DataFrame:
-        """(a, b): each node of a list with the list's leader, where their components differ."""
-        heads = alive.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node", "component")).alias("m")).select("key", F.col("m.node").alias("b"), F.col("m.component").alias("cb"))
-        return alive.join(heads, "key").filter("node <> b AND component <> cb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-
-    # To begin with, every node meets one leader: the smallest node of its lists.
-    labels = linked(leaders(_placed(lists, None), F.lit(0)).groupBy("a").agg(F.min("b").alias("b")))
-    while True:
-        alive = materialise(_open(_placed(lists, labels)), "open")
-        last = level == MAX_LEVEL
-        short = alive if last else alive.filter(F.col("n") <= SHORT_LIST)
-        other = short.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-        pairs = short.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("a < b AND ca <> cb").select("a", "b")
-        long = alive.filter(F.col("n") > SHORT_LIST)
-        done = last or long.isEmpty()
-        if not done:
-            pairs = pairs.union(leaders(long, F.xxhash64("key", "node")))
-        labels = linked(pairs.distinct())
-        if done:
-            return labels
-        # What is still open shares one more value of prefixes that are one longer, if it holds a pair at the threshold.
-        level += 1
-        long = _open(_placed(long.select("key", "used", "node"), labels)).select("used", "node")
-        wider = ordered.select("node", F.slice("shared", F.lit(1), F.col("need") + (level - 1)).alias("shared"))
-        split = long.join(wider, "node").select("used", "node", F.explode(F.array_except("shared", "used")).alias("value"))
-        split = split.withColumn("used", F.sort_array(F.concat("used", F.array("value"))))
-        lists = materialise(split.select(F.xxhash64("used").alias("key"), "used", "node").distinct(), "lists")
+    joined = every.drop("values").join(placed, (F.col("set_a") == F.col("pa")) & (F.col("set_b") == F.col("pb")) & linked, "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The rows of docs that stand for their component: those with its smallest doc_id.
+    """One row of docs for each component: one with its smallest doc_id, of repeated ones the one with the least text.
 
     Rows without words or without a doc_id all stay.
     """
     cols = docs.columns
-    spot = cols.index("doc_id") if "doc_id" in cols else [c.lower() for c in cols].index("doc_id")
-    gone = link_components(docs, words, percent, **options).filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = materialise(gone, "gone")
-    n = gone.count()
+    at = {name: cols.index(name) if name in cols else [c.lower() for c in cols].index(name) for name in ("doc_id", "text")}
+    labels = link_components(docs, words, percent, **options)
+    gone = materialise(labels.filter("doc_id <> component_id").select(F.col("doc_id").alias("of")).distinct(), "gone")
+    many = materialise(labels.filter("n_shingles > 0 AND doc_id = component_id").groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("c")).filter("c > 1").select("of"), "repeated")
     plain = docs.toDF(*(f"__in{i}" for i in range(len(cols))))
-    gone = F.broadcast(gone) if n <= BROADCAST_IDS else gone
-    return plain.join(gone, F.col(f"__in{spot}") == F.col("doc_id"), "left_anti").toDF(*cols)
+    key, text = F.col(f"__in{at['doc_id']}"), F.col(f"__in{at['text']}")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    plain = plain.join(gone, key.cast("long") == F.col("of"), "left_anti")
+    if many.isEmpty():
+        return plain.toDF(*cols)
+    # Rows of one doc_id: the least text with a word stays, once.  Rows are numbered by what they hold, so a rerun keeps an equal row.
+    words_in = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = plain.join(many, (key.cast("long") == F.col("of")) & words_in, "left_semi")
+    one = one.groupBy(key.alias("__id")).agg(F.min_by(F.struct(*plain.columns), F.struct(text, F.xxhash64(*plain.columns))).alias("r")).select("r.*")
+    rest = plain.join(many, (key.cast("long") == F.col("of")) & words_in, "left_anti")
+    return rest.union(one).toDF(*cols)
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

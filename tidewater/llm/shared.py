@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +40,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session with a local master gets a fresh folder of this machine; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -55,10 +64,38 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop_tables(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Deletes tables that `materialise` wrote; nothing may read them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
+#: Rows of a batch that Python gets: texts differ in length by four orders, and Spark bounds batches by rows alone.
+BATCH_ROWS = 256
+#: Bytes of text that Python works on at once.
+RUN_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand Python at most BATCH_ROWS rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def byte_runs(batches: Iterator[pa.RecordBatch], column: int, most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in runs whose texts (a string or binary column) have `most` bytes together, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else ()
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def guarded(df: DataFrame) -> DataFrame:
