@@ -5,15 +5,18 @@ through it once: after each token the state gives the longest run of tokens that
 ends there and stands in some template (the matching statistics).  Maximal runs
 of `MIN_RUN` tokens or more are chained, per template, into spans in the order of
 the template with small gaps; a span that covers enough of its template gives
-its label.  Base phrases are found in the same pass: a phrase ends where the
-state, or one that its suffix links lead to, holds it.
+its label, and the largest part of a template that any chain covers is the text's score.
+Base phrases are found in the same pass: a phrase ends where the state, or one that its
+suffix links lead to, holds it.
 
 Cost is linear in the tokens of a text, but for the few places where long runs
 start; memory is one text and the automaton.  Nothing is shuffled.
 
 Defined results: a null or empty text has no words, no places, empty labels and
-score 0; doc_id is passed through, also null; repeated rows are scanned one by
-one; an empty table gives an empty result.
+score 0; doc_id is passed through, also null; repeated rows are scanned one by one; of
+chains that a run continues equally well the first goes on; texts of any length are read
+whole; further columns, whatever their names, are not looked at; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import pick, table
+from tidewater.llm.shared import pick, small_batches, table
 
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -54,6 +57,30 @@ TEMPLATES = (
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost", "boost software license version 1 0"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("mit", "spdx license identifier mit"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("bsd", "spdx license identifier bsd 2 clause"),
+    ("bsd-3", "spdx license identifier bsd 3 clause"),
+    ("gpl-2", "spdx license identifier gpl 2 0"),
+    ("gpl-3", "spdx license identifier gpl 3 0"),
+    ("mpl-2", "spdx license identifier mpl 2 0"),
+    ("isc", "spdx license identifier isc"),
 )
 #: Tokens of a run that is worth chaining; tokens that a chain may skip; hundredths of a template that a span must cover.
 MIN_RUN = 3
@@ -136,6 +163,7 @@ class Scanner:
         self.numbers: dict[bytes, int] = {}
         sequences = [[self.numbers.setdefault(w, len(self.numbers)) for w in tokens] for tokens, _ in [*self.templates, *self.base]]
         self.automaton = SuffixAutomaton(sequences)
+        self.shortest = min((len(tokens) for tokens, _ in self.base), default=1)
         self.phrases: list[list[int]] = [[] for _ in self.automaton.link]
         for k, (tokens, _) in enumerate(self.base):
             state, length = 0, 0
@@ -151,8 +179,8 @@ class Scanner:
             state = self.automaton.link[state]
             length = min(length, self.automaton.length[state]) if state > 0 else 0
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]]]:
-        """Number of words; (phrase, first word) of all base places; (label, first word, last word, share covered) of all spans."""
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]], float]:
+        """Number of words; (phrase, first word) of all base places; (label, first word, last word, share covered) of all spans; the best share."""
         tokens = words(text)
         number = self.numbers.get
         places: list[tuple[int, int]] = []
@@ -169,14 +197,14 @@ class Scanner:
             state, length = step(state, length, token)
             if before >= self.min_run and length <= before:
                 runs.append((i - before, i, was))
-            if length >= 3:
+            if length >= self.shortest:
                 places += ((k, i + 1 - len(self.base[k][0])) for k in self._phrases_at(state, length))
         if length >= self.min_run:
             runs.append((len(tokens) - length, len(tokens), state))
-        return len(tokens), places, self._chain(runs) if runs else []
+        return len(tokens), places, *self._chain(runs)
 
-    def _chain(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Runs in order of the text, for each template joined to the open chain that they continue."""
+    def _chain(self, runs: list[tuple[int, int, int]]) -> tuple[list[tuple[str, int, int, float]], float]:
+        """Spans, and the largest share of a template that a chain covers: runs in order of the text, for each template joined to the open chain that they continue."""
         n = len(self.templates)
         open_chains: dict[int, list[list[int]]] = defaultdict(list)
         done: list[tuple[int, list[int]]] = []
@@ -198,12 +226,13 @@ class Scanner:
                     kept.remove(best)
                 open_chains[template] = [*kept, own]
         done += [(t, c) for t, chains in open_chains.items() for c in chains]
-        spans = []
+        spans, most = [], 0.0
         for template, (start, end, _, covered) in done:
             tokens, label = self.templates[template]
+            most = max(most, min(1.0, covered / len(tokens)))
             if 100 * covered >= self.min_cover * len(tokens):
                 spans.append((label, start, end - 1, min(1.0, covered / len(tokens))))
-        return sorted(set(spans), key=lambda s: (s[1], s[2], s[0]))
+        return sorted(set(spans), key=lambda s: (s[1], s[2], s[0])), most
 
 
 @lru_cache(maxsize=4)
@@ -211,11 +240,12 @@ def scanner_for(base=BASE, templates=TEMPLATES, min_run=MIN_RUN, max_gap=MAX_GAP
     return Scanner(base, templates, min_run, max_gap, min_cover)
 
 
-FOUND = "n_words long, base array<struct<label:string,word:long>>, spans array<struct<label:string,first:long,last:long,cover:double>>"
+FOUND = "n_words long, base array<struct<label:string,word:long>>, spans array<struct<label:string,first:long,last:long,cover:double>>, score double"
 
 
 def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, **options) -> DataFrame:
-    """(doc_id, n_words, base, spans): the base phrases' places and the template spans of every text."""
+    """(doc_id, n_words, base, spans, score): the base phrases' places, the template spans and the best cover of every text."""
+    small_batches(docs.sparkSession)
     df = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = df.schema["doc_id"].dataType.simpleString()
     inner = pa.struct([("label", pa.string()), ("word", pa.int64())])
@@ -229,11 +259,12 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, **options) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([n for n, _, _ in found], pa.int64()),
-                    pa.array([[{"label": labels[k], "word": w} for k, w in sorted(p, key=lambda x: x[1])] for _, p, _ in found], pa.list_(inner)),
-                    pa.array([[dict(zip(("label", "first", "last", "cover"), s, strict=True)) for s in spans] for _, _, spans in found], pa.list_(outer)),
+                    pa.array([n for n, *_ in found], pa.int64()),
+                    pa.array([[{"label": labels[k], "word": w} for k, w in sorted(p, key=lambda x: x[1])] for _, p, _, _ in found], pa.list_(inner)),
+                    pa.array([[dict(zip(("label", "first", "last", "cover"), s, strict=True)) for s in spans] for _, _, spans, _ in found], pa.list_(outer)),
+                    pa.array([s for *_, s in found], pa.float64()),
                 ],
-                names=["doc_id", "n_words", "base", "spans"],
+                names=["doc_id", "n_words", "base", "spans", "score"],
             )
 
     return df.mapInArrow(run, f"doc_id {kind}, {FOUND}")
@@ -247,6 +278,6 @@ def op8_license_scans(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         joined(F.transform("base", lambda b: b["label"])).alias("base_labels"),
         joined(F.concat(F.transform("base", lambda b: b["label"]), F.transform("spans", lambda s: s["label"]))).alias("labels"),
-        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0))).alias("score"),
+        "score",
         F.col("spans").cast("string").alias("spans"),
     )

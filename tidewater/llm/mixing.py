@@ -11,15 +11,17 @@ size, the words taken stay within about one document of the target.
 A hot source is no problem: its order is dealt by range over many tasks, and only
 (doc_id, source, size) is moved for it.
 
-Defined results: null text has size 0; the null source is a source of its own,
-last in order; rows equal in doc_id, source and text are one unit, taken or left
-together; a source without words, and any source of a table without words, gets
-target 0 and no copies; an empty table gives an empty result.
+Defined results: null text has size 0; the null source is a source of its own, last in
+order; rows equal in doc_id, source and text are sampled one after the other, like any
+neighbours in the order; ties in size go by a seeded hash; texts of any length count
+whole; a source without words, and any source of a table without words, gets target 0 and
+no copies; further columns are carried along, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.shared import WORD, materialise, pick, running_total, table
@@ -31,6 +33,8 @@ MOST = 2.0
 SEED = 20260101
 #: The random offset is a multiple of this, so that sums keep their fractions exactly.
 OFFSET_STEPS = 1 << 16
+#: Units of a plan that is broadcast, some 100 bytes each.
+BROADCAST_UNITS = 200_000
 
 
 def _size() -> Column:
@@ -70,35 +74,55 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def plan(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """Each unit with its source's size and target, and `copies`."""
+    """Each unit with its source's size and target, and what `copies` needs."""
     rows = materialise(units(docs), "sizes")
     goal = targets(rows, **options)
     order = [F.col("size").desc(), F.xxhash64(F.lit(seed), "doc_id", "__h"), F.col("doc_id"), F.col("__h")]
-    placed = running_total(rows, order, F.lit(1).cast("long"), "__before", group="source")
+    placed = running_total(rows, order, F.col("__m"), "__before", group="source")
     goal = goal.withColumnRenamed("source", "__source")
     df = placed.join(goal, placed["source"].eqNullSafe(goal["__source"])).drop("__source")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0null"))), F.lit(OFFSET_STEPS)) / F.lit(float(OFFSET_STEPS))
-    below = lambda k: F.floor(k * rate + offset)
-    return df.withColumn("copies", (below(F.col("__before") + 1) - below(F.col("__before"))).cast("long")).drop("__before")
+    return df.withColumn("__rate", rate).withColumn("__offset", offset)
+
+
+def copies(first: Column | str, rows: Column | int = 1) -> Column:
+    """Integers that the sum crosses over `rows` rows of a unit, of which `first` of the unit or others of its source stand before."""
+    below = lambda k: F.floor(k * F.col("__rate") + F.col("__offset"))
+    first = F.col("__before") + first
+    return (below(first + rows) - below(first)).cast("long")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as many times as the plan takes it, with its columns as they are."""
+    """The rows of `docs`, each as many times as the plan takes it, with its columns as they are.
+
+    The plan has a row per unit: where Spark finds it small enough it is broadcast, else texts are shuffled once.
+    """
     cols = docs.columns
-    chosen = plan(docs, **options).filter("copies > 0").select(
-        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__h").alias("__t"), "copies"
-    )
+    units = plan(docs, **options).withColumn("__all", copies(F.lit(0), F.col("__m"))).filter("__all > 0")
+    chosen = units.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__h").alias("__t"), "__m", "__all", "__before", "__rate", "__offset")
+    chosen = materialise(chosen, "plan")
+    several = not chosen.filter("__m > 1").isEmpty()
+    if chosen.count() <= BROADCAST_UNITS:
+        chosen = F.broadcast(chosen)
     lowered = [c.lower() for c in cols]
     at = {n: F.col(f"__in{cols.index(n) if n in cols else lowered.index(n)}") for n in ("doc_id", "source", "text")}
     plain = docs.toDF(*(f"__in{i}" for i in range(len(cols))))
     same = at["doc_id"].eqNullSafe(F.col("__d")) & at["source"].eqNullSafe(F.col("__s")) & F.xxhash64(at["text"]).eqNullSafe(F.col("__t"))
     wide = plain.join(chosen, same)
-    wide = wide.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return wide.select(*(f"__in{i}" for i in range(len(cols)))).toDF(*cols)
+    out = wide.select(*plain.columns, F.col("__all").alias("__copies"), "__m")
+    if several:
+        # Of a unit's rows, those equal in all columns are counted as one, and take their stretch of the unit's sum together.
+        whole = wide.filter("__m > 1").groupBy(*wide.columns).agg(F.count("*").alias("__rows"))
+        order = Window.partitionBy("__d", "__s", "__t").orderBy(*plain.columns).rowsBetween(Window.unboundedPreceding, -1)
+        whole = whole.withColumn("__first", F.coalesce(F.sum("__rows").over(order), F.lit(0)))
+        out = out.filter("__m = 1").union(whole.select(*plain.columns, copies(F.col("__first"), F.col("__rows")).alias("__copies"), "__m"))
+    out = out.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return out.select(*plain.columns).toDF(*cols)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     df = plan(table(spark, sf_dir, "documents"))
-    df = df.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__m").cast("int"))))
+    df = df.withColumn("__row", F.explode(F.sequence(F.lit(0), (F.col("__m") - 1).cast("int"))))
+    df = df.withColumn("copies", copies(F.col("__row")))
     return df.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

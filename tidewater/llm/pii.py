@@ -1,23 +1,25 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 The base finds emails, ip addresses, card numbers and phone numbers by pattern.
-Each value found is a protected entity.  Terms in a document that holds an entity may reveal it even
-when the value itself is taken out: all its words, of any length and at any distance.  How strongly is estimated over the corpus, by
-document counts: with information content IC(e) = log(N / n_e), a term t tells
-PMI(t, e) = log(n_te * N / (n_t * n_e)) of it, and discloses the share
-PMI / IC.  Every pair is scored, whatever its support: n_te counts less by `DISCOUNT`
-(absolute discounting), so few documents must tell more.  From `GENERALISE` on, the term is generalised to its
-kind; from `REMOVE` on it is removed, wherever it stands outside base spans.  Only documents that hold the entity lose
-terms.  `find_near` is the narrower rule of OP3_SQL: terms of four letters or more within
-`NEAR` code points, pairs in `SUPPORT` documents or more, no discount.
-
-Built-in functions only.  Texts are read twice (patterns, then the document counts of
-all words); only texts that hold an entity are shuffled.  What moves besides is one row per word of a partition, and
-one per entity and term, aggregated before they do.
-
-Defined results: a null text counts as empty and has no spans; a null doc_id is
-passed through; repeated rows get equal spans and each count as a document; an
-empty table gives an empty result.  Offsets are code points, ends exclusive.
+Each value found is a protected entity.  Terms in a document that holds an entity may
+reveal it even when the value itself is taken out: all its words (runs of letters), of any
+length and at any distance.  How strongly is estimated over the corpus, by document
+counts: with information content IC(e) = log(N / n_e), a term t tells
+PMI(t, e) = log(n_te * N / (n_t * n_e)) of it, and discloses the share PMI / IC.  Every
+pair is scored, whatever its support: n_te counts less by `DISCOUNT` (absolute
+discounting), so few documents must tell more.  From `GENERALISE` on, the term is
+generalised to its kind; from `REMOVE` on it is removed, wherever it stands outside base
+spans.  Only documents that hold the entity lose terms.
+
+Built-in functions only.  Texts are read twice (patterns, then the document counts of all
+words); only texts that hold an entity are shuffled.  What moves besides is one row per
+word of a partition, and one per entity and term, aggregated before they do.
+
+Defined results: a null text counts as empty and has no spans; a null doc_id is passed
+through; repeated rows get equal spans and each count as a document; of spans at one place
+the stronger verdict on a term holds; texts of any length are taken whole; further columns,
+whatever their names, are not looked at; an empty table gives an empty result.  Offsets
+are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -40,14 +42,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-TERM = r"(?:\G|(?<!\p{L}))\p{L}{4,}+"
 NOT_LETTERS = r"[^\p{L}]+"
 PIECES = r"\p{L}++|\P{L}++"
-#: Four letters or more, none beside them.
-#: Code points on either side of an entity that count as near; documents that must hold term and entity in op3_pii, as
-#: OP3_SQL has it; what n_te counts less elsewhere; shares disclosed.
-NEAR = 80
-SUPPORT = 3
+#: What n_te counts less; shares disclosed from which a term is generalised, and removed.
 DISCOUNT = 0.75
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -61,10 +58,18 @@ def _matches(text: Column, pattern: str, hint: str | None) -> Column:
     return F.when(test, found).otherwise(F.array().cast("array<string>"))
 
 
+#: Numbers that are summed up one by one; longer runs are summed in blocks of so many.
+BLOCK = 256
+
+
 def _starts(pieces: Column, values: Column) -> Column:
-    """Offset of every value, from the pieces of text between them."""
+    """Offset of every value, from the pieces of text between them; in blocks, so that a text of very many values takes no square of them."""
     steps = F.zip_with(pieces, values, lambda p, v: F.length(p) + F.coalesce(F.length(v), F.lit(0)))
-    return F.aggregate(steps, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    added = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda a, y: F.concat(a, F.array(F.element_at(a, -1) + y)))
+    cut = F.transform(F.sequence(F.lit(0), F.size(steps) - 1, F.lit(BLOCK)), lambda k: added(F.slice(steps, k + 1, BLOCK)))
+    before = F.transform(cut, lambda x: F.element_at(x, -1))
+    whole = F.zip_with(cut, added(before), lambda x, base: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + base))
+    return F.flatten(F.slice(whole, 1, F.size(cut)))
 
 
 def _located(df: DataFrame, text: str, kind: str, pattern: str, out: str, hint: str | None) -> DataFrame:
@@ -117,34 +122,9 @@ def find_base(docs: DataFrame) -> DataFrame:
     return df
 
 
-def _side(df: DataFrame, left: bool) -> DataFrame:
-    """The terms on one side of an entity (columns text, start, stop, entity): adds an array of their spans."""
-    name = "left" if left else "right"
-    low = F.greatest(F.col("start") - NEAR, F.lit(0)) if left else F.col("stop")
-    size = F.col("start") - low if left else F.lit(NEAR)
-    df = df.withColumn("__low", low).withColumn("__near", F.substring("text", low + 1, size))
-    df = _located(df, "__near", "term", TERM, name, None)
-    # What the cut may have halved is no term.
-    cut = ((lambda s: (F.col("__low") > 0) & (s["start"] == 0)) if left else (lambda s: (F.length("__near") == NEAR) & (s["stop"] == NEAR)))
-    kept = F.filter(name, lambda s: ~cut(s))
-    moved = F.transform(kept, lambda s: F.struct(s["value"].alias("term"), (s["start"] + F.col("__low")).alias("start"), (s["stop"] + F.col("__low")).alias("stop")))
-    return df.withColumn(name, moved).drop("__low", "__near")
-
-
-def near_terms(found: DataFrame) -> DataFrame:
-    """(doc_id, h, entity, term, start, stop): every term near an entity.  h names the text among rows of one doc_id."""
-    spans = F.concat(*KINDS)
-    df = guarded(found.withColumn("__spans", spans)).filter("size(__spans) > 0 AND __row >= 0")
-    df = df.select("doc_id", F.xxhash64("text").alias("h"), "text", F.explode("__spans").alias("s"))
-    df = df.select("doc_id", "h", "text", "s.start", "s.stop", F.concat_ws(":", "s.kind", "s.value").alias("entity"))
-    df = _side(_side(df, True), False)
-    terms = df.select("doc_id", "h", "entity", F.explode(F.concat("left", "right")).alias("t"))
-    return terms.select("doc_id", "h", "entity", "t.term", "t.start", "t.stop")
-
-
-def _shares(counts: DataFrame, n: float, discount: float = 0.0) -> DataFrame:
+def _shares(counts: DataFrame, n: float, discount: float) -> DataFrame:
     """Adds `share`, PMI over information content, of counts (n_e, n_t, n_te less the discount) among n documents."""
-    pmi = F.ln((F.col("n_te") - discount if discount else F.col("n_te")) * F.lit(n) / (F.col("n_t") * F.col("n_e")))
+    pmi = F.ln((F.col("n_te") - discount) * F.lit(n) / (F.col("n_t") * F.col("n_e")))
     return counts.withColumn("share", F.coalesce(F.try_divide(pmi, F.ln(F.lit(n) / F.col("n_e"))), F.lit(0.0)))
 
 
@@ -154,28 +134,6 @@ def _often(docs: DataFrame) -> DataFrame:
     return words.groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(entity, term, n_e, n_t, n_te, share): terms that disclose at least the share `least` of an entity.
-
-    spans: (doc_id, h, base) of all documents; near: the terms near entities.
-    """
-    n = float(max(spans.count(), 1))
-    holders = spans.filter(F.size("base") > 0)
-    named = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
-    entities = holders.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    rows = holders.groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).agg(F.count("*").alias("m"))
-    pairs = near.select("doc_id", "h", "entity", "term").distinct()
-    pairs = pairs.join(rows, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
-    pairs = pairs.select("doc_id", "h", "entity", "term", "m")
-    counted = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_te")).filter(F.col("n_te") >= support)
-    # Documents that hold a term near any entity are a lower bound of n_t, which rules out common words before all texts are counted.
-    anywhere = pairs.select("doc_id", "h", "term", "m").distinct().groupBy("term").agg(F.sum("m").alias("n_t"))
-    pairs = _shares(counted.join(entities, "entity").join(anywhere, "term"), n).filter(F.col("share") >= least)
-    pairs = materialise(pairs.drop("n_t", "share"), "pairs")
-    found = _shares(pairs.join(_often(docs), "term"), n).filter(F.col("share") >= least)
-    return found.select("entity", "term", "n_e", "n_t", "n_te", "share")
-
-
 def _same_text(left: Column, right: Column) -> Column:
     return left.eqNullSafe(F.col("d2")) & (right == F.col("h2"))
 
@@ -191,20 +149,6 @@ def _with_terms(spans: DataFrame, hits: DataFrame) -> DataFrame:
     return df.select("doc_id", "h", "base", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
 
 
-def find_near(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """What find_all gives, but by the rule of OP3_SQL."""
-    found = find_base(docs)
-    spans = materialise(found.select("doc_id", F.xxhash64("text").alias("h"), F.concat(*KINDS).alias("base")), "pii-base")
-    near = materialise(near_terms(found), "near-terms")
-    told = disclosures(docs, spans, near, support, generalise)
-    kind = F.when(F.col("share") >= remove, F.lit("term-remove")).otherwise(F.lit("term-generalise"))
-    told = told.select(F.col("entity").alias("e2"), F.col("term").alias("t2"), kind.alias("kind"))
-    hits = near.join(told, (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2")))
-    # Of a term near two entities the stronger verdict holds.
-    hits = hits.groupBy("doc_id", "h", "start", "stop").agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
-    return _with_terms(spans, hits)
-
-
 def _pairs(held: DataFrame) -> DataFrame:
     """(doc_id, h, m, key, n_e, term): the entities of a text with each of its words.  Entities of one text alone share all counts, so one key stands for them."""
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
@@ -276,28 +220,21 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    """The rule of OP3_SQL: nearby terms of four letters or more, in SUPPORT documents or more."""
-    return _shown(find_near(table(spark, sf_dir, "documents")))
-
-
-def op3_pii_every_pair(spark, sf_dir: str) -> DataFrame:
-    """The same columns, with every pair of an entity and a word of its documents scored."""
     return _shown(find_all(table(spark, sf_dir, "documents")))
 
 
-def _sql_matches(kind: str, order: int, pattern: str, source: str = "d", text: str = "t", keys: str = "doc_id") -> str:
+def _sql_matches(kind: str, order: int, pattern: str) -> str:
     """SELECT of all matches with their places: pieces between matches and the matches themselves, added up."""
-    values = f"regexp_extract_all({text}, '{pattern}')"
-    window = f"PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    values = f"regexp_extract_all(t, '{pattern}')"
+    window = "PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND"
     return f"""SELECT *, CAST(sum(length(p)) OVER ({window} CURRENT ROW) + coalesce(sum(length(v)) OVER ({window} 1 PRECEDING), 0) AS BIGINT) AS a
-        FROM (SELECT {keys}, '{kind}' AS kind, {order} AS ord, unnest({values}) AS v, unnest(string_split_regex({text}, '{pattern}')[1:len({values})]) AS p, unnest(range(1, len({values}) + 1)) AS i FROM {source})"""
+        FROM (SELECT doc_id, '{kind}' AS kind, {order} AS ord, unnest({values}) AS v, unnest(string_split_regex(t, '{pattern}')[1:len({values})]) AS p, unnest(range(1, len({values}) + 1)) AS i FROM d)"""
 
 
 _SQL_BASE = " UNION ALL ".join(
     f"({_sql_matches(k, n, p)})"
     for n, (k, p) in enumerate((("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), ("card", r"[0-9](?:[ -]?[0-9])+"), ("phone", r"\+[0-9][ ().0-9-]+[0-9]")), 1)
 )
-_SQL_TERM = r"\p{L}{4,}"
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT *, a + length(v) AS b, regexp_replace(v, '[^0-9]', '', 'g') AS g FROM ({_SQL_BASE})),
@@ -305,15 +242,17 @@ base AS (SELECT doc_id, kind, ord, v, a, b FROM m WHERE CASE kind WHEN 'email' T
     WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: CAST(x AS DOUBLE) <= 255))
     ELSE length(g) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN (length(g) - i) % 2 = 0 THEN CAST(substr(g, i, 1) AS BIGINT)
          ELSE 2 * CAST(substr(g, i, 1) AS BIGINT) - CASE WHEN CAST(substr(g, i, 1) AS BIGINT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END),
-sides AS (SELECT doc_id, kind || ':' || v AS entity, a AS at_, true AS l, greatest(a - {NEAR}, 0) AS lo, substr(t, greatest(a - {NEAR}, 0) + 1, a - greatest(a - {NEAR}, 0)) AS seg FROM base JOIN d USING (doc_id)
-    UNION ALL SELECT doc_id, kind || ':' || v, a, false, b, substr(t, b + 1, {NEAR}) FROM base JOIN d USING (doc_id)),
-near AS (SELECT doc_id, entity, v AS term, lo + a AS a, lo + a + length(v) AS b FROM ({_sql_matches("term", 5, _SQL_TERM, "sides", "seg", "doc_id, entity, at_, l, lo, seg")})
-    WHERE NOT (l AND lo > 0 AND a = 0) AND NOT (NOT l AND length(seg) = {NEAR} AND a + length(v) = {NEAR})),
-te AS (SELECT entity, term, count(DISTINCT doc_id) AS n_te FROM near GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {SUPPORT}),
-e AS (SELECT kind || ':' || v AS entity, count(DISTINCT doc_id) AS n_e FROM base GROUP BY 1),
-w AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(t, '[^\p{{L}}]+')) AS term FROM d) WHERE term IN (SELECT term FROM te) GROUP BY term),
-told AS (SELECT entity, term, coalesce(ln(n_te * n.n / (n_t * n_e)) / nullif(ln(n.n / n_e), 0), 0) AS share FROM te JOIN e USING (entity) JOIN w USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d) n),
-terms AS (SELECT doc_id, max(CASE WHEN share >= {REMOVE} THEN 'term-remove' ELSE 'term-generalise' END) AS kind, a, b FROM near JOIN told USING (entity, term) WHERE share >= {GENERALISE} GROUP BY doc_id, a, b),
+own AS (SELECT DISTINCT doc_id, kind || ':' || v AS entity FROM base),
+w AS (SELECT doc_id, unnest(list_distinct(string_split_regex(t, '[^\p{{L}}]+'))) AS term FROM d WHERE doc_id IN (SELECT doc_id FROM own)),
+te AS (SELECT entity, term, count(*) AS n_te FROM own JOIN w USING (doc_id) WHERE term <> '' GROUP BY 1, 2),
+e AS (SELECT entity, count(*) AS n_e FROM own GROUP BY 1),
+nt AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(t, '[^\p{{L}}]+')) AS term FROM d) WHERE term IN (SELECT term FROM te) GROUP BY term),
+told AS (SELECT entity, term, coalesce(ln((n_te - {DISCOUNT}::DOUBLE) * n.n / (n_t * n_e)) / nullif(ln(n.n / n_e), 0), 0) AS share FROM te JOIN e USING (entity) JOIN nt USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d) n),
+verdict AS (SELECT doc_id, term, max(CASE WHEN share >= {REMOVE} THEN 'term-remove' ELSE 'term-generalise' END) AS kind FROM told JOIN own USING (entity) JOIN w USING (doc_id, term) WHERE share >= {GENERALISE} GROUP BY 1, 2),
+pieces AS (SELECT doc_id, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '\p{{L}}+|\P{{L}}+') AS x FROM d WHERE doc_id IN (SELECT doc_id FROM verdict))),
+at AS (SELECT doc_id, v, CAST(sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM pieces),
+terms AS (SELECT at.doc_id, verdict.kind, at.b - length(at.v) AS a, at.b FROM at JOIN verdict ON at.doc_id = verdict.doc_id AND at.v = verdict.term
+    WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = at.doc_id AND base.a < at.b AND base.b > at.b - length(at.v))),
 alls AS (SELECT doc_id, kind, ord, a, b FROM base UNION ALL SELECT doc_id, kind, CASE kind WHEN 'term-generalise' THEN 5 ELSE 6 END, a, b FROM terms),
 s AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
     string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a) FILTER (ord < 5) AS base_spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a, b) AS spans FROM alls GROUP BY doc_id)

@@ -10,7 +10,6 @@ def queries() -> dict:
         "op1_minhash_near_dedup": near_dup.op1_minhash_near_dedup,
         "op2_token_shards": token_shards.op2_token_shards,
         "op3_pii": pii.op3_pii,
-        "op3_pii_every_pair": pii.op3_pii_every_pair,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_mixing": mixing.op5_mixing,
         "op6_quality_rules": quality.op6_quality_rules,

@@ -74,7 +74,7 @@ def drop_tables(spark: SparkSession, *tables: DataFrame | None) -> None:
 
 
 #: Rows of a batch that Python gets: texts differ in length by four orders, and Spark bounds batches by rows alone.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 #: Bytes of text that Python works on at once.
 RUN_BYTES = 4 << 20
 

@@ -19,7 +19,10 @@ saved as a file and mapped by `Shard`.
 
 Defined results: a null text counts as empty and holds the end id only; rows
 with a null doc_id come first, in shards of their own kind (flag in the header);
-rows that share a doc_id are ordered by text; an empty table gives no shard.
+rows that share a doc_id follow each other by a hash of their text and then the text;
+texts of any length are taken whole, and one that is longer than a shard gets a shard of
+its own; further columns, whatever their names, are not looked at; an empty table gives
+no shard.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import pick, scratch_path, table, width
+from tidewater.llm.shared import pick, scratch_path, small_batches, table, width
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: A shard is closed once it holds this many ids; a document is never split.
-SHARD_IDS = 1_000_000
+SHARD_IDS = 250_000
 SAMPLE = 512
 HEADER = struct.Struct("<4sHHQQqQ")
 MAGIC = b"TWEF"
@@ -162,121 +164,101 @@ class Shard:
 
 # ------------------------------------------------------------------ encoding
 
-#: The byte-level splitter of the vocabulary's tokenizer.
-SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on whose classes all regular expression libraries agree; pieces with others go to the library whole.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ͷΑ-ΡΣ-ҁҊ-ԯ]*")
-#: Pieces or words kept in a worker at most; the caches then start anew.
-CACHE = 1_000_000
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary: itself where printable, else the next from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+#: A space beside other white space, or at either end of the text: cuts there could change tokens.
+ODD = re.compile(r"\s | \s|\A | \Z")
+SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces kept in a worker at most, some 200 bytes each; beyond it those met once go.
+CACHE = 250_000
+#: Characters that the library gets in one call.
+CALL = 100_000
 
 
 class Encoder:
-    """Encodes whole texts with the tokenizers library, keeping what it has met.
+    """Encodes whole texts with the tokenizers library, keeping the ids of pieces it has met.
 
-    A text is cut at single spaces.  With a byte-level splitter no token crosses
-    such a cut unless more white space touches the space, so the ids of " piece"
-    can be kept and reused.  Texts where white space does touch a space, texts that
-    hold an added token's string, and all texts under other kinds of tokenizer
-    are encoded by the library in one go.
+    A text is cut before single spaces that have no other white space beside them.
+    With a byte-level splitter no token crosses such a cut, so the ids of " piece" can be
+    kept and reused, and pieces not met before go to the library in one text, whose ids
+    are dealt to the pieces by their lengths in bytes.  Texts that hold an added token's
+    string, and all texts under other kinds of tokenizer, are encoded in one go.
     """
 
     def __init__(self, path: str):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         about = json.loads(self.tokenizer.to_str())
         split = about["pre_tokenizer"] or {}
         self.added = [a["content"] for a in about["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.by_piece = (
             about["normalizer"] is None
             and about["model"]["type"] == "BPE"
+            and not about["model"].get("ignore_merges")
             and split.get("type") == "ByteLevel"
             and not split["add_prefix_space"]
             and split["use_regex"]
+            and not any(" " in a for a in self.added)
+            and sum(len(t) == 1 for t in vocabulary) >= 256
         )
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.split = regex.compile(SPLITTER).findall
-        self.letters = _byte_letters()
-        self._reset()
-
-    def _reset(self) -> None:
-        encoder = self
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                return encoder._add(piece)
-
-        self.pieces, self.words = Pieces(), {}
-        self.flat, self.starts, self.edges = array("I"), array("Q", [0]), array("B")
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            shown = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = tuple(t.id for t in self.tokenizer.model.tokenize(shown))
-        return ids
-
-    def _add(self, piece) -> int:
-        """Keeps a piece's ids; a tuple is a text's first piece, which has no space before it."""
-        text = piece[0] if isinstance(piece, tuple) else " " + piece
-        inner = piece[0] if isinstance(piece, tuple) else piece
-        if PLAIN.fullmatch(text):
-            for word in self.split(text):
-                self.flat.extend(self._word(word))
-        else:
-            self.flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        first = isinstance(piece, tuple)
-        self.edges.append((not inner and not first) or inner[-1:].isspace() or (inner[:1].isspace() and not first))
-        self.starts.append(len(self.flat))
-        k = self.pieces[piece] = len(self.edges) - 1
-        return k
+        # In a byte-level vocabulary each letter of a token stands for one byte.
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.n_bytes[k] = len(token)
+        self.index: dict[str, int] = {}
+        self.ids, self.starts, self.hits = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep_often(self) -> None:
+        """Forgets the pieces met once."""
+        often = self.hits > 1
+        size = np.diff(self.starts)
+        self.ids = self.ids[np.repeat(often, size)]
+        self.starts = np.concatenate([[0], np.cumsum(size[often])])
+        kept = (p for p, good in zip(self.index, often, strict=True) if good)
+        self.index = {p: k for k, p in enumerate(kept)}
+        self.hits = self.hits[often] // 2
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids, sizes = [self.ids], []
+        for _, some in in_chunks(pieces, CALL):
+            found = self._library([" " + " ".join(some)])[0]
+            stops = np.cumsum(self.n_bytes[found])
+            wanted = np.cumsum([1 + len(p.encode()) for p in some])
+            ends = np.searchsorted(stops, wanted)
+            if len(stops) != ends[-1] + 1 or not np.array_equal(stops[ends], wanted):
+                raise ValueError("a token crosses a cut: this is no byte-level tokenizer")
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=-1))
+        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
+        self.ids = np.concatenate(ids)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+        self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        whole = []
-        chosen: list[int] = []
-        counts: list[int] = []
-        found: list[int] = []
-        if len(self.pieces) > CACHE or len(self.words) > CACHE:
-            self._reset()
-        look = self.pieces.__getitem__
-        for k, text in enumerate(texts):
-            if not self.by_piece or any(a in text for a in self.added):
-                whole.append(k)
-                continue
-            first, *rest = text.split(" ")
-            at = len(found)
-            found.append(look((first,)))
-            found.extend(map(look, rest))
-            chosen.append(k)
-            counts.append(len(found) - at)
-        if chosen:
-            picked = np.array(found, dtype=np.int64)
-            starts = np.array(self.starts, dtype=np.int64)
-            edges, flat = np.array(self.edges, dtype=bool), np.array(self.flat, dtype=np.uint32)
-            size = starts[picked + 1] - starts[picked]
-            ends = np.cumsum(size)
-            ids = flat[np.repeat(starts[picked] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-            cut = np.cumsum(counts)
-            odd = np.add.reduceat(edges[picked], np.concatenate([[0], cut[:-1]]))
-            for k, doc, bad in zip(chosen, np.split(ids, ends[cut[:-1] - 1]), odd, strict=True):
-                if bad:
-                    whole.append(k)
-                else:
-                    out[k] = doc
-        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, dtype=np.uint32)
-        return out
+        whole = [not self.by_piece or any(a in t for a in self.added) for t in texts]
+        cut = [[t] if w else SAFE.split(t) if ODD.search(t) else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        out = self._library([pieces[0] for pieces in cut])
+        rest = [p for pieces in cut for p in pieces[1:]]
+        if not rest:
+            return out
+        if len(self.index) > CACHE:
+            self._keep_often()
+        if fresh := list(set(rest).difference(self.index)):
+            self._learn(fresh)
+        at = np.fromiter(map(self.index.__getitem__, rest), np.int64, len(rest))
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        first = self.starts[at]
+        size = self.starts[at + 1] - first
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
+        places = np.concatenate([[0], ends])[np.cumsum([0] + [len(p) - 1 for p in cut])]
+        return [np.concatenate([head, ids[a:b]]) for head, a, b in zip(out, places[:-1], places[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -295,7 +277,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def in_chunks(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def in_chunks(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts that together have about `most` characters, one text at least."""
     at = 0
     while at < len(texts):
@@ -316,8 +298,10 @@ def encode_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
     """Shards of all documents, in ascending doc_id order by (part, seq)."""
     df = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     df = df.withColumn("doc_id", F.col("doc_id").cast("long"))
+    small_batches(docs.sparkSession)
+    # The bounds of the ranges are sampled rows that reach the driver: a hash stands for the text there.
     df = df.repartitionByRange(width(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    df = df.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    df = df.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -355,25 +339,29 @@ def save_shards(shards: DataFrame, path: str) -> None:
 
 def load_index(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' bytes alone."""
-    per_part = shards.groupBy("part").agg(F.sum("n_ids").alias("held"))
-    parts = per_part.select(F.col("part").alias("of"), (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("base"))
-    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    places = shards.select("part", "seq", within.alias("offset"))
-    places = places.join(parts, F.col("part") == F.col("of")).select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("base") + F.col("offset")).alias("base"))
-    df = shards.join(F.broadcast(places), (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("base", "blob")
+    small_batches(shards.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, seq, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 shard = Shard(blob.as_buffer())
                 ends = shard.ends.all()
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 keys = pa.nulls(shard.n_docs, pa.int64()) if shard.null_keys else pa.array(shard.keys.all() + shard.base, pa.int64())
-                ids = shard.ids.astype("<u4")
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(starts + base, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
+                where = [pa.array(np.full(shard.n_docs, x, np.int32)) for x in (part, seq)]
+                yield pa.RecordBatch.from_arrays([*where, keys, pa.array(starts), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    return df.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    held = shards.select("part", "seq", "blob").mapInArrow(run, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    # Where each shard begins, from its count of ids: sums of parts (one row each) before, and of its own part's earlier shards.
+    per_part = shards.groupBy("part").agg(F.sum("n_ids").alias("held"))
+    parts = per_part.select(F.col("part").alias("of"), (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("base"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    places = shards.select("part", "seq", within.alias("offset"))
+    places = places.join(parts, F.col("part") == F.col("of")).select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("base") + F.col("offset")).alias("base"))
+    # What moves here is a small row per document, never a shard's bytes.
+    df = held.join(places, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s")))
+    return df.select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenise(docs: DataFrame, path: str, **options) -> DataFrame:
