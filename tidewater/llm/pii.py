@@ -250,9 +250,9 @@ nt AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(string_
 told AS (SELECT entity, term, coalesce(ln((n_te - {DISCOUNT}::DOUBLE) * n.n / (n_t * n_e)) / nullif(ln(n.n / n_e), 0), 0) AS share FROM te JOIN e USING (entity) JOIN nt USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d) n),
 verdict AS (SELECT doc_id, term, max(CASE WHEN share >= {REMOVE} THEN 'term-remove' ELSE 'term-generalise' END) AS kind FROM told JOIN own USING (entity) JOIN w USING (doc_id, term) WHERE share >= {GENERALISE} GROUP BY 1, 2),
 pieces AS (SELECT doc_id, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '\p{{L}}+|\P{{L}}+') AS x FROM d WHERE doc_id IN (SELECT doc_id FROM verdict))),
-at AS (SELECT doc_id, v, CAST(sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM pieces),
-terms AS (SELECT at.doc_id, verdict.kind, at.b - length(at.v) AS a, at.b FROM at JOIN verdict ON at.doc_id = verdict.doc_id AND at.v = verdict.term
-    WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = at.doc_id AND base.a < at.b AND base.b > at.b - length(at.v))),
+placed AS (SELECT doc_id, v, CAST(sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM pieces),
+terms AS (SELECT x.doc_id, verdict.kind, x.b - length(x.v) AS a, x.b FROM placed x JOIN verdict ON x.doc_id = verdict.doc_id AND x.v = verdict.term
+    WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = x.doc_id AND base.a < x.b AND base.b > x.b - length(x.v))),
 alls AS (SELECT doc_id, kind, ord, a, b FROM base UNION ALL SELECT doc_id, kind, CASE kind WHEN 'term-generalise' THEN 5 ELSE 6 END, a, b FROM terms),
 s AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
     string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a) FILTER (ord < 5) AS base_spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a, b) AS spans FROM alls GROUP BY doc_id)
