@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as s
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import TEXTS, edge_docs, random_texts
@@ -34,6 +35,14 @@ def test_encoder_is_the_library(texts):
     assert [list(x) for x in ENCODER.encode(texts)] == [e.ids for e in WHOLE.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_full_cache_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(ts, "CACHE", 50)
+    encoder = ts.Encoder(PATH)
+    for seed in range(4):
+        texts = random_texts(30, seed)
+        assert [list(x) for x in encoder.encode(texts)] == [e.ids for e in WHOLE.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_odd_texts():
     texts = [t for t in TEXTS if t] + ["a<|endoftext|>b", "  lead", "trail  ", "a \n b", "don't I'll", "x\x1cy z"] + random_texts(20, 1)
     assert [list(x) for x in ENCODER.encode(texts)] == [e.ids for e in WHOLE.encode_batch(texts, add_special_tokens=False)]
@@ -42,7 +51,9 @@ def test_odd_texts():
 def test_round_trip_through_files(spark, tmp_path):
     df = edge_docs(spark)
     got = ts.tokenise(df, str(tmp_path / "shards"), shard_ids=50).orderBy("start").collect()
-    rows = sorted(((r.doc_id, r[1] or "") for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    rows = [(r.doc_id, r[1] or "") for r in df.collect()]
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]], x[1]))
     assert [r.doc_id for r in got] == [k for k, _ in rows]
     at = 0
     for r, (_, text) in zip(got, rows):

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,11 +165,15 @@ class Shard:
 
 # ------------------------------------------------------------------ encoding
 
+#: What \s stands for in the byte-level splitter, as a class of Arrow's regular expressions.
+WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: A space beside other white space, or at either end of the text: cuts there could change tokens.
-ODD = re.compile(r"\s | \s|\A | \Z")
+ODD = rf"{WHITE} | {WHITE}|\A | \z"
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces kept in a worker at most, some 200 bytes each; beyond it those met once go.
 CACHE = 250_000
+#: Characters that are encoded together, a text's at least: repeated pieces are looked up once in them.
+RUN = 2_000_000
 #: Characters that the library gets in one call.
 CALL = 100_000
 
@@ -229,7 +234,7 @@ class Encoder:
         for _, some in in_chunks(pieces, CALL):
             found = self._library([" " + " ".join(some)])[0]
             stops = np.cumsum(self.n_bytes[found])
-            wanted = np.cumsum([1 + len(p.encode()) for p in some])
+            wanted = np.cumsum(1 + pc.binary_length(pa.array(some, pa.string())).to_numpy())
             ends = np.searchsorted(stops, wanted)
             if len(stops) != ends[-1] + 1 or not np.array_equal(stops[ends], wanted):
                 raise ValueError("a token crosses a cut: this is no byte-level tokenizer")
@@ -240,26 +245,48 @@ class Encoder:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
         self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int64)])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [not self.by_piece or any(a in t for a in self.added) for t in texts]
-        cut = [[t] if w else SAFE.split(t) if ODD.search(t) else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        out = self._library([pieces[0] for pieces in cut])
-        rest = [p for pieces in cut for p in pieces[1:]]
-        if not rest:
+    def _joined(self, cut: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, given as the list of its pieces; each piece but the first follows a space."""
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy())
+        firsts = np.concatenate([[0], ends[:-1]])
+        pieces = cut.flatten()
+        out = self._library(pieces.take(pa.array(firsts)).to_pylist())
+        later = np.ones(len(pieces), bool)
+        later[firsts] = False
+        coded = pieces.filter(pa.array(later)).dictionary_encode()
+        if not len(coded):
             return out
         if len(self.index) > CACHE:
             self._keep_often()
-        if fresh := list(set(rest).difference(self.index)):
+        distinct = coded.dictionary.to_pylist()
+        if fresh := [p for p in distinct if p not in self.index]:
             self._learn(fresh)
-        at = np.fromiter(map(self.index.__getitem__, rest), np.int64, len(rest))
+        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         self.hits += np.bincount(at, minlength=len(self.hits))
         first = self.starts[at]
         size = self.starts[at + 1] - first
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
-        places = np.concatenate([[0], ends])[np.cumsum([0] + [len(p) - 1 for p in cut])]
+        stops = np.cumsum(size)
+        ids = self.ids[np.repeat(first - (stops - size), size) + np.arange(stops[-1])]
+        places = np.concatenate([[0], stops])[np.concatenate([[0], ends - np.arange(1, len(cut) + 1)])]
         return [np.concatenate([head, ids[a:b]]) for head, a, b in zip(out, places[:-1], places[1:], strict=True)]
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        whole = np.array([not self.by_piece or any(a in t for a in self.added) for t in texts])
+        given = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(given, ODD).to_numpy(zero_copy_only=False) & ~whole
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for at, found in (
+            (np.flatnonzero(whole), lambda at: self._library([texts[i] for i in at])),
+            (np.flatnonzero(odd), lambda at: self._joined(pa.array([SAFE.split(texts[i]) for i in at], pa.list_(pa.string())))),
+            (np.flatnonzero(~odd & ~whole), lambda at: self._joined(pc.split_pattern(given.take(pa.array(at)), " "))),
+        ):
+            if len(at):
+                for i, ids in zip(at, found(at), strict=True):
+                    out[i] = ids
+        return out
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -277,7 +304,23 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def in_chunks(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, list[str]]]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int | None], list[str]]]:
+    """The same (doc_id, text) rows in lists of `most` characters or a batch more."""
+    keys: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        keys += batch.column(0).to_pylist()
+        texts += (more := batch.column(1).to_pylist())
+        size += sum(map(len, more))
+        if size >= most:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
+def in_chunks(texts: list[str], most: int = RUN) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts that together have about `most` characters, one text at least."""
     at = 0
     while at < len(texts):
@@ -317,9 +360,8 @@ def encode_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "blob"])
 
         end = np.array([end_id], dtype=np.uint32)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at, texts in in_chunks(batch.column(1).to_pylist()):
+        for ids, several in _runs(batches, RUN):
+            for at, texts in in_chunks(several):
                 for key, found in zip(ids[at : at + len(texts)], encoder.encode(texts), strict=True):
                     if keys and (held >= shard_ids or (keys[0] is None) != (key is None)):
                         yield close()
