@@ -68,6 +68,14 @@ def test_quantile_buckets_cover_every_value(spark):
     assert all(a.hi < b.lo for a, b in zip(edges, edges[1:]))
 
 
+def test_quantile_buckets_without_values(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    assert [r.b for r in st.quantile_bucket(df, "v", "b", 5).collect()] == [None]
+    assert st.quantile_bucket(df.limit(0), "v", "b", 5).isEmpty()
+    with pytest.raises(ValueError, match="no usable v"):
+        st.quantile_bucket(df, "v", "b", 5, required=True)
+
+
 @pytest.mark.parametrize("means,steps,sign", [([1, 2, 3], 2, 1), ([3, 2, 1], 0, -1), ([2, 2, 2], 2, 0), ([1, 3, 2], 1, 1)])
 def test_shapes(spark, means, steps, sign):
     df = spark.createDataFrame([(f"Q{i:02d}", m / 1e4, m / 1e4, 0.5) for i, m in enumerate(means)], "bucket string, mean_capture_ret_abn double, median_capture_ret_abn double, positive_capture_ret_abn_rate double")

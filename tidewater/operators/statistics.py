@@ -57,16 +57,16 @@ def distinct_cuts(candidates: Sequence[float | None], maximum: float) -> list[fl
 
 
 def quantile_cuts(sample: DataFrame, value: str, k: int) -> list[float]:
-    """Exact cut points at i/k, in one aggregation; k numbers reach the driver."""
+    """Exact cut points at i/k, in one aggregation; k numbers reach the driver.  None where no row has a value."""
     row = sample.agg(F.max(value), *(exact_percentile(value, i / k) for i in range(1, k))).head()
-    if row[0] is None:
-        raise ValueError(f"no usable {value}")
-    return distinct_cuts(row[1:], row[0])
+    return [] if row[0] is None else distinct_cuts(row[1:], row[0])
 
 
-def quantile_bucket(sample: DataFrame, value: str, bucket: str, k: int) -> DataFrame:
-    """Adds Q01..Qk by intervals (lower, upper]; a null value has no bucket."""
+def quantile_bucket(sample: DataFrame, value: str, bucket: str, k: int, required: bool = False) -> DataFrame:
+    """Adds Q01..Qk by intervals (lower, upper]; a null value has no bucket.  `required`: a sample without values is an error."""
     cuts = quantile_cuts(sample, value, k)
+    if required and not cuts and sample.filter(F.col(value).isNotNull()).isEmpty():
+        raise ValueError(f"no usable {value}")
     number = sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(1))
     return sample.withColumn(bucket, F.when(F.col(value).isNotNull(), F.concat(F.lit("Q"), F.lpad(number.cast("string"), 2, "0"))))
 

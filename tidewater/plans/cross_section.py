@@ -74,7 +74,7 @@ def build(grain: DataFrame, panel: DataFrame, meta: DataFrame, pseudo: DataFrame
     out = {"sample_funnel": st.sample_funnel(states, config.market), "metric_identities": st.metric_identities(grain, config.tolerance), "overall_summary": summary(base, None)}
     boundaries, diagnostics = None, None
     for name, value in (("yield", "div_yield"), ("volatility", "pre_vol"), ("liquidity", "pre_avg_dollar_volume")):
-        cut = st.quantile_bucket(base.filter(F.col(value).isNotNull()), value, f"{name}_bucket", config.buckets)
+        cut = st.quantile_bucket(base.filter(F.col(value).isNotNull()), value, f"{name}_bucket", config.buckets, required=True)
         made = out[f"{name}_summary"] = summary(cut, f"{name}_bucket")
         b, d = st.bucket_boundaries(cut, name, value, f"{name}_bucket"), st.dimension_diagnostics(made, f"{name}_bucket", name)
         boundaries = b if boundaries is None else boundaries.unionByName(b)
