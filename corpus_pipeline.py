@@ -10,7 +10,7 @@ from __future__ import annotations
 from tidewater.llm import decontam, mixing, near_dup, quality, token_shards
 from tidewater.llm.shared import materialise, scratch_path, table
 
-#: Tokens and random choices can't be expressed in SQL: tests hold the pipeline against a brute-force version.
+#: Tokens and random choices can't be expressed in SQL.  Tests check subsets, columns and offsets only; a brute-force version is still to be written.
 ORACLE_SQL = None
 
 
