@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import TEXTS, edge_docs, random_texts
 from tidewater.llm import line_dedup, mixing
@@ -28,7 +29,8 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
 def test_mixing(spark):
     rows = [(i, t, ["b", "a", None, "hot", "hot", "hot", "é"][i % 7]) for i, t in enumerate(random_texts(700, 7))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.plan(df).collect()
+    planned = lambda x: mixing.plan(x).withColumn("copies", mixing.copies(F.lit(0), F.col("__m"))).collect()
+    got = planned(df)
     size = Counter()
     for _, t, s in rows:
         size[s] += len(t.split())
@@ -39,7 +41,7 @@ def test_mixing(spark):
         assert r.target == pytest.approx(want[r.source]) and 0 <= r.copies <= 2
         taken[r.source] += r.copies * r.size
     assert all(abs(taken[s] - want[s]) <= 2 * 60 for s in want), "within about a document"
-    again = {r.doc_id: r.copies for r in mixing.plan(df.repartition(3)).collect()}
+    again = {r.doc_id: r.copies for r in planned(df.repartition(3))}
     assert again == {r.doc_id: r.copies for r in got}
     mixed = Counter(r.doc_id for r in mixing.mix(df).collect())
     assert mixed == Counter({k: v for k, v in again.items() if v})
