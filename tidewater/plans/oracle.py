@@ -111,9 +111,9 @@ def bucketed(value: str) -> str:
 
 PNL = f"count(capture_ret_abn) AS n, {r('avg(capture_ret_abn) * 10000 AS mean_bps; quantile_disc(capture_ret_abn, 0.5) * 10000 AS median_bps; avg(CASE WHEN capture_ret_abn > 0 THEN 1.0 WHEN capture_ret_abn IS NOT NULL THEN 0.0 END) AS win_rate')}"
 GRAIN_D = "cash_amount; prev_close; ex_open; ex_close; post_close; pre_avg_ret; pre_avg_abn_ret; pre_vol; pre_avg_volume; pre_avg_dollar_volume; post_avg_ret; post_avg_abn_ret; drop_ratio; drop_pct; div_yield; capture_ret; mkt_overnight_ret; capture_ret_abn; hold_ret"
-DIVISION = """CASE WHEN p_size BETWEEN 1 AND 9 THEN 'Agriculture' WHEN p_size BETWEEN 10 AND 14 THEN 'Mining' WHEN p_size BETWEEN 15 AND 17 THEN 'Construction' WHEN p_size BETWEEN 20 AND 39 THEN 'Manufacturing'
-    WHEN p_size BETWEEN 40 AND 49 THEN 'Transportation' WHEN p_size BETWEEN 50 AND 51 THEN 'Wholesale' WHEN p_size BETWEEN 52 AND 59 THEN 'Retail' WHEN p_size BETWEEN 60 AND 67 THEN 'Finance'
-    WHEN p_size BETWEEN 70 AND 89 THEN 'Services' WHEN p_size BETWEEN 91 AND 99 THEN 'Public administration' ELSE 'UNKNOWN' END"""
+DIVISION = """CASE WHEN p_size BETWEEN 1 AND 9 THEN 'Agriculture, Forestry & Fishing' WHEN p_size BETWEEN 10 AND 14 THEN 'Mining' WHEN p_size BETWEEN 15 AND 17 THEN 'Construction' WHEN p_size BETWEEN 20 AND 39 THEN 'Manufacturing'
+    WHEN p_size BETWEEN 40 AND 49 THEN 'Transportation & Public Utilities' WHEN p_size BETWEEN 50 AND 51 THEN 'Wholesale Trade' WHEN p_size BETWEEN 52 AND 59 THEN 'Retail Trade' WHEN p_size BETWEEN 60 AND 67 THEN 'Finance, Insurance & Real Estate'
+    WHEN p_size BETWEEN 70 AND 89 THEN 'Services' WHEN p_size BETWEEN 91 AND 99 THEN 'Public Administration' ELSE 'UNKNOWN' END"""
 LEVELS = lambda c, a, b: f"CASE WHEN {c} < {a} THEN 'low' WHEN {c} < {b} THEN 'medium' ELSE 'high' END"
 IDENT = {
     "drop_pct_is_ratio_times_yield": ("drop_pct", "drop_ratio * div_yield"),
