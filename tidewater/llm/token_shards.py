@@ -31,6 +31,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +176,7 @@ CACHE = 250_000
 #: Characters that are encoded together, a text's at least: repeated pieces are looked up once in them.
 RUN = 2_000_000
 #: Characters that the library gets in one call.
-CALL = 100_000
+CALL = 500_000
 
 
 class Encoder:
@@ -259,9 +260,13 @@ class Encoder:
         if len(self.index) > CACHE:
             self._keep_often()
         distinct = coded.dictionary.to_pylist()
-        if fresh := [p for p in distinct if p not in self.index]:
-            self._learn(fresh)
-        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        known = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(known < 0)
+        if len(fresh):
+            # New pieces are numbered in their order here, after those that are kept.
+            known[fresh] = np.arange(len(self.index), len(self.index) + len(fresh))
+            self._learn([distinct[i] for i in fresh])
+        at = known[coded.indices.to_numpy()]
         self.hits += np.bincount(at, minlength=len(self.hits))
         first = self.starts[at]
         size = self.starts[at + 1] - first
