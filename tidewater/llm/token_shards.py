@@ -172,7 +172,7 @@ WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202
 ODD = rf"{WHITE} | {WHITE}|\A | \z"
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces kept in a worker at most, some 200 bytes each; beyond it those met once go.
-CACHE = 250_000
+CACHE = 400_000
 #: Characters that are encoded together, a text's at least: repeated pieces are looked up once in them.
 RUN = 2_000_000
 #: Characters that the library gets in one call.
@@ -259,7 +259,7 @@ class Encoder:
             return out
         if len(self.index) > CACHE:
             self._keep_often()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
         fresh = np.flatnonzero(known < 0)
         if len(fresh):
@@ -327,12 +327,11 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[i
 
 def in_chunks(texts: list[str], most: int = RUN) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts that together have about `most` characters, one text at least."""
+    stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     at = 0
     while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
-            size += len(texts[end])
-            end += 1
+        before = stops[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(stops, before + most, "right")))
         yield at, texts[at:end]
         at = end
 
