@@ -205,6 +205,24 @@ def test_decisions_fire_once_per_day(spark, tmp_path):
     assert [(str(r.day), r.n_bins, r.sess_open, r.sess_close) for r in got if str(r.day) == "2024-01-02"] == [("2024-01-02", 13, 10.0, 28.0)]
 
 
+@pytest.mark.parametrize("name", ["stream_bins_equals_batch"])
+def test_a_long_replay_takes_few_batches_and_loses_no_row(spark, tmp_path, monkeypatch, name):
+    from tidewater.streaming import bars
+
+    n, batches, upsert, before = 30_000, [], bars.upsert, spark.conf.get("spark.sql.shuffle.partitions")
+    at = F.timestamp_seconds(F.lit(1_704_189_600) + F.col("id") % 1000 * 86_400 + F.col("id") % 7 * 900).cast("timestamp_ntz")
+    events = spark.range(n).select(F.col("id").alias("event_id"), at.alias("ts"), F.pmod(F.hash("id"), F.lit(5000)).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 97).cast("double").alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(bars, "upsert", lambda path: lambda df, k: (batches.append(k), upsert(path)(df, k))[1])
+    got = cat.CATALOGUE[name](spark, str(tmp_path)).agg(F.count("*").alias("bins"), F.sum("b_n").alias("rows"), F.sum("b_volume").alias("total")).first()
+    rows = fx.minute_bars(spark, str(tmp_path))
+    if name == "stream_static_join":
+        rows = rows.join(rows.groupBy("ticker").count().filter("count >= 10"), "ticker", "left_semi")
+    want = intra.bins(rows).agg(F.count("*").alias("bins"), F.sum("b_n").alias("rows"), F.sum("b_volume").alias("total")).first()
+    assert got == want and len(set(batches)) <= 13  # twelve files, and the last batch without rows
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_registered_models_are_trained_in_full(spark, monkeypatch):
     seen = []
 

@@ -406,27 +406,46 @@ def checker_counts(spark, d):
 # ------------------------------------------------------------------ streams
 
 
-def _stream_files(spark, d, minutes: DataFrame) -> str:
-    """Replay files in event-time order, one a day group; written where the stream can find them."""
+#: A replay's file, which is a micro-batch, holds so many rows; a long replay gets larger files instead of more than so many.
+REPLAY_ROWS, REPLAY_FILES = 2000, 12
+#: Rows a state partition, where the cores alone would make fewer partitions.
+STATE_ROWS = 250_000
+
+
+def _stream_files(spark, d, minutes: DataFrame, n: int) -> str:
+    """Replay files in event-time order; written where the stream can find them."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewater-")
     path = f"{root.rstrip('/')}/replay-{uuid.uuid4().hex}"
     part = F.floor(F.dayofyear("ts_et") / 31).cast("int")
-    minutes.select("ticker", "ts_et", "price", "event_id", (F.year("ts_et") * 12 + part).alias("part")).repartition(1).sortWithinPartitions("ts_et").write.option("maxRecordsPerFile", 2000).parquet(path)
+    rows = max(REPLAY_ROWS, -(-n // REPLAY_FILES))
+    minutes.select("ticker", "ts_et", "price", "event_id", (F.year("ts_et") * 12 + part).alias("part")).repartition(1).sortWithinPartitions("ts_et").write.option("maxRecordsPerFile", rows).parquet(path)
     return path
 
 
+def _start(spark, writer, n: int):
+    """Starts a query whose state has about a partition a core; it takes a copy of the session's settings, so they change for the start only."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(spark.sparkContext.defaultParallelism, -(-n // STATE_ROWS)))))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def _run_stream(spark, d, candidates: bool) -> DataFrame:
     from tidewater.streaming import bars
 
-    path = _stream_files(spark, d, fx.minute_bars(spark, d))
+    n = fx.minute_bars(spark, d).count()
+    path = _stream_files(spark, d, fx.minute_bars(spark, d), n)
     source = spark.readStream.schema("ticker string, ts_et timestamp, price double, event_id long, part int").option("maxFilesPerTrigger", 1).parquet(path)
     keep = fx.minute_bars(spark, d).groupBy("ticker").agg(F.count("*").alias("n")).filter("n >= 10").select("ticker") if candidates else None
     out = f"{path}-bins"
-    q = bars.binned(source, keep, delay="400 days").writeStream.outputMode("update").foreachBatch(bars.upsert(out)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    writer = bars.binned(source, keep, delay="400 days").writeStream.outputMode("update").foreachBatch(bars.upsert(out)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    _start(spark, writer, n).awaitTermination()
     return bars.latest(spark.read.parquet(out))
 
 
