@@ -205,7 +205,7 @@ def test_decisions_fire_once_per_day(spark, tmp_path):
     assert [(str(r.day), r.n_bins, r.sess_open, r.sess_close) for r in got if str(r.day) == "2024-01-02"] == [("2024-01-02", 13, 10.0, 28.0)]
 
 
-@pytest.mark.parametrize("name", ["stream_bins_equals_batch"])
+@pytest.mark.parametrize("name", ["stream_bins_equals_batch", "stream_static_join"])
 def test_a_long_replay_takes_few_batches_and_loses_no_row(spark, tmp_path, monkeypatch, name):
     from tidewater.streaming import bars
 

@@ -442,7 +442,10 @@ def _run_stream(spark, d, candidates: bool) -> DataFrame:
     n = fx.minute_bars(spark, d).count()
     path = _stream_files(spark, d, fx.minute_bars(spark, d), n)
     source = spark.readStream.schema("ticker string, ts_et timestamp, price double, event_id long, part int").option("maxFilesPerTrigger", 1).parquet(path)
-    keep = fx.minute_bars(spark, d).groupBy("ticker").agg(F.count("*").alias("n")).filter("n >= 10").select("ticker") if candidates else None
+    keep = None
+    if candidates:  # written once, as every micro-batch would find them anew
+        fx.minute_bars(spark, d).groupBy("ticker").agg(F.count("*").alias("n")).filter("n >= 10").select("ticker").write.parquet(f"{path}-candidates")
+        keep = spark.read.parquet(f"{path}-candidates")
     out = f"{path}-bins"
     writer = bars.binned(source, keep, delay="400 days").writeStream.outputMode("update").foreachBatch(bars.upsert(out)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     _start(spark, writer, n).awaitTermination()
