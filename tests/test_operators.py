@@ -68,6 +68,15 @@ def test_quantile_buckets_cover_every_value(spark):
     assert all(a.hi < b.lo for a, b in zip(edges, edges[1:]))
 
 
+def test_quantile_buckets_of_values_that_differ_each_time_they_are_made(spark):
+    import time
+
+    later = F.udf(lambda i: i + time.monotonic() / 1e4, "double").asNondeterministic()
+    df = spark.range(100).select("id", later(F.col("id").cast("double")).alias("v"))
+    got = st.quantile_bucket(df, "v", "b", 5).groupBy("b").agg(F.count("*").alias("n"), F.max("id").alias("hi"))
+    assert sorted(map(tuple, got.collect())) == [(f"Q{k + 1:02d}", 20, 20 * k + 19) for k in range(5)]
+
+
 def test_quantile_buckets_without_values(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert [r.b for r in st.quantile_bucket(df, "v", "b", 5).collect()] == [None]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.core import exact_percentile, ratio
+from tidewater.sources.sinks import stored
 
 
 def summary_columns() -> list[Column]:
@@ -63,7 +64,11 @@ def quantile_cuts(sample: DataFrame, value: str, k: int) -> list[float]:
 
 
 def quantile_bucket(sample: DataFrame, value: str, bucket: str, k: int, required: bool = False) -> DataFrame:
-    """Adds Q01..Qk by intervals (lower, upper]; a null value has no bucket.  `required`: a sample without values is an error."""
+    """Adds Q01..Qk by intervals (lower, upper]; a null value has no bucket.  `required`: a sample without values is an error.
+
+    A cut is some row's value, so the sample is stored first: made anew, that row's value may differ in its last bit and fall beyond the cut.
+    """
+    sample = stored(sample, bucket)
     cuts = quantile_cuts(sample, value, k)
     if required and not cuts and sample.filter(F.col(value).isNotNull()).isEmpty():
         raise ValueError(f"no usable {value}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +22,15 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes to the shared folder and reads back: every later pass sees the same bits, which sums of doubles made anew don't give."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewater-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_single_csv(df: DataFrame, path: str, sort: list[str] | None = None) -> None:
     """One CSV file with a header, for small results; array columns are left out."""
     plain = df.select(*(f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct"))).coalesce(1)
