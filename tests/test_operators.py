@@ -77,6 +77,18 @@ def test_quantile_buckets_of_values_that_differ_each_time_they_are_made(spark):
     assert sorted(map(tuple, got.collect())) == [(f"Q{k + 1:02d}", 20, 20 * k + 19) for k in range(5)]
 
 
+@pytest.mark.parametrize("name,bucket", [("bucket_boundaries", "bucket_label")])
+def test_bucket_queries_count_alike_when_values_differ_in_each_pass(spark, monkeypatch, name, bucket):
+    import time
+
+    later = F.udf(lambda i: i + time.monotonic() / 1e4, "double").asNondeterministic()
+    value = lambda c: F.lit(0.5).alias(c)
+    df = spark.range(100).select(F.lit("A").alias("ticker"), later(F.col("id").cast("double")).alias("div_yield"), *map(value, ("capture_ret_abn", "capture_ret", "drop_ratio")))
+    monkeypatch.setattr(cat, "base", lambda spark, d: df)
+    got = cat.CATALOGUE[name](spark, SF).select(bucket, "n_events").collect()
+    assert sorted(map(tuple, got)) == [(f"Q{k + 1:02d}", 20) for k in range(5)]
+
+
 def test_quantile_buckets_without_values(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert [r.b for r in st.quantile_bucket(df, "v", "b", 5).collect()] == [None]
