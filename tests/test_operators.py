@@ -77,7 +77,7 @@ def test_quantile_buckets_of_values_that_differ_each_time_they_are_made(spark):
     assert sorted(map(tuple, got.collect())) == [(f"Q{k + 1:02d}", 20, 20 * k + 19) for k in range(5)]
 
 
-@pytest.mark.parametrize("name,bucket", [("bucket_boundaries", "bucket_label")])
+@pytest.mark.parametrize("name,bucket", [("bucket_boundaries", "bucket_label"), ("group_summary_yield_q5", "bucket")])
 def test_bucket_queries_count_alike_when_values_differ_in_each_pass(spark, monkeypatch, name, bucket):
     import time
 
