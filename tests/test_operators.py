@@ -89,6 +89,20 @@ def test_bucket_queries_count_alike_when_values_differ_in_each_pass(spark, monke
     assert sorted(map(tuple, got)) == [(f"Q{k + 1:02d}", 20) for k in range(5)]
 
 
+@pytest.mark.parametrize("name,bucket", [("bucket_boundaries", "bucket_label")])
+def test_bucket_queries_keep_equal_yields_together_in_any_order_of_their_amounts(spark, monkeypatch, name, bucket):
+    before, day = dt.date(2020, 1, 2), dt.date(2020, 1, 3)
+    amounts = [[0.1, 0.2, 0.3], [0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [0.3, 0.2, 0.1], [0.3, 0.2, 0.1], [1.0], [2.0], [3.0], [4.0], [5.0]]
+    paid = [(f"T{k}", day, a, "CD", 4, before) for k, of in enumerate(amounts) for a in of]
+    dividends = spark.createDataFrame(paid, "ticker string, ex_date date, cash_amount double, distribution_type string, frequency long, declaration_date date").coalesce(1)
+    prices = [(t, d, *[1.0] * 5, 1) for t in (*(f"T{k}" for k in range(10)), cat.MARKET) for d in (before, day)]
+    bars = spark.createDataFrame(prices, "ticker string, date_et date, open double, close double, high double, low double, volume double, transactions long")
+    monkeypatch.setattr(fx, "dividends", lambda spark, d: dividends)
+    monkeypatch.setattr(fx, "day_bars", lambda spark, d: bars)
+    got = cat.CATALOGUE[name](spark, SF).select(bucket, "n_events").collect()
+    assert sorted(map(tuple, got)) == [("Q01", 5), ("Q02", 1), ("Q03", 2), ("Q04", 2)]
+
+
 def test_quantile_buckets_without_values(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert [r.b for r in st.quantile_bucket(df, "v", "b", 5).collect()] == [None]
